@@ -4,10 +4,10 @@ _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 NGRAM_JOIN = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array({_ASCII}, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array({_ASCII}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words
 ), tokens AS (
   SELECT doc_id, len(s) AS m, unnest(s) AS tok FROM sets
 ), shared AS (
