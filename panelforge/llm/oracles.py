@@ -25,3 +25,10 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id
 FROM sets s JOIN reach r ON s.doc_id = r.node GROUP BY s.doc_id, s.s
 """
+
+BLOCK_NAMING = f"""
+WITH t AS (SELECT doc_id, {_ASCII} AS norm FROM documents),
+g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
+FROM t JOIN g ON t.norm = g.norm
+"""

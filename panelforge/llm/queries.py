@@ -19,13 +19,21 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_naming import block_naming_dedup
+
+    return block_naming_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op9_block_naming_dedup": op9_block_naming_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+        "op9_block_naming_dedup": oracles.BLOCK_NAMING,
     }
