@@ -19,6 +19,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_digest
+
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .block_naming import block_naming_dedup
 
@@ -28,6 +40,8 @@ def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_pii_anchors": op4_pii_anchors,
         "op9_block_naming_dedup": op9_block_naming_dedup,
     }
 
