@@ -180,7 +180,7 @@ def _profile(docs: DataFrame, n: int, slots: int) -> DataFrame:
 
 
 def _sketch_levels(parts: DataFrame, slots: int) -> np.ndarray:
-    """Frequency level of each slot: 0 up to twice the mean, then a level for each doubling.
+    """Frequency level of each slot: 0 up to three deviations over the mean, then one for each doubling of what is beyond.
 
     Summed on the executors in 64 ranges, two levels deep; the driver gets one
     byte a slot, whatever the corpus.
@@ -208,7 +208,7 @@ def _sketch_levels(parts: DataFrame, slots: int) -> np.ndarray:
             out = []
             for x in column(b, "blob"):
                 c = np.frombuffer(x.as_buffer(), np.int64)
-                out.append(np.clip(np.floor(np.log2(np.maximum(c, 1) / mean)), 0, 40).astype(np.uint8).tobytes())
+                out.append(np.ceil(np.log2(np.maximum(c - mean - 3 * mean**0.5, 0) + 1)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([column(b, "r"), pa.array(out, pa.binary())], ["r", "blob"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +327,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     num, den = t.numerator, t.denominator
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if slots is None:
-        slots = 1 << min(26, max(20, (docs.count() * 8).bit_length()))
+        slots = 1 << min(26, max(20, (docs.count() * 16).bit_length()))
     share = spark.sparkContext.broadcast
 
     scan = stash(_profile(docs, n, slots))
