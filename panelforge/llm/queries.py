@@ -6,13 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import read_table as table
 from . import oracles
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_join
 
@@ -31,18 +28,44 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, fold, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), train=fold("doc_id", 3) != 1)
+    return quality_scores(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctph import ctph_edited
+
+    return ctph_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .block_naming import block_naming_dedup
 
     return block_naming_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import detect_languages, fit_languages
+    from .quality import fold
+
+    docs = table(spark, sf_dir, "documents")
+    filters = fit_languages(docs, train=fold("doc_id", 4) != 2)
+    return detect_languages(docs, filters).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_pii_anchors": op4_pii_anchors,
+        "op5_compression_quality": op5_compression_quality,
+        "op7_piecewise_hashing": op7_piecewise_hashing,
         "op9_block_naming_dedup": op9_block_naming_dedup,
+        "op10_bitmask_langid": op10_bitmask_langid,
     }
 
 
