@@ -16,6 +16,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digest
 
@@ -36,12 +42,24 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linkgraph import link_filter
+
+    return link_filter(table(spark, sf_dir, "pages"))
+
+
 def op7_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ctph import ctph_edited
 
     return ctph_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, word_counts
+
+    return pack(word_counts(table(spark, sf_dir, "documents")))
+
+
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .block_naming import block_naming_dedup
 
@@ -60,10 +78,13 @@ def op10_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_sparse_suffix_dedup": op2_sparse_suffix_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_pii_anchors": op4_pii_anchors,
         "op5_compression_quality": op5_compression_quality,
+        "op6_link_graph": op6_link_graph,
         "op7_piecewise_hashing": op7_piecewise_hashing,
+        "op8_length_buckets": op8_length_buckets,
         "op9_block_naming_dedup": op9_block_naming_dedup,
         "op10_bitmask_langid": op10_bitmask_langid,
     }
