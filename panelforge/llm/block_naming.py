@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import release, release_with, stash
+from .kit import release, settle, stash
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -73,4 +73,4 @@ def block_naming_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         "sha",
     )
     out = out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    return release_with(out, rows, level)
+    return settle(out, rows, level)

@@ -3,9 +3,9 @@ Arrow batches, Bloom filters of fixed size, connected components."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
+        if spark.sparkContext._jsc is None:
+            return
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -49,6 +51,7 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -61,13 +64,15 @@ def release(*frames: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
-def release_with(owner: DataFrame, *frames: DataFrame) -> DataFrame:
-    """Delete the stashed inputs of a lazy result once its handle is collected."""
-    for df in frames:
-        if path := getattr(df, "_stash_path", None):
-            weakref.finalize(owner, _remove, df.sparkSession, path).atexit = True
-    owner._keeps = frames
-    return owner
+def settle(result: DataFrame, *frames: DataFrame) -> DataFrame:
+    """Stash a result and delete the stashed tables it was made from.
+
+    The stashed result itself stays until the program ends: plans that the caller
+    derives from it read its files at any later time.
+    """
+    out = stash(result)
+    release(*frames)
+    return out
 
 
 # --- Arrow helpers -----------------------------------------------------------

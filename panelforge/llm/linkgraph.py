@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .block_naming import ascii_lower
-from .kit import release, release_with, stash
+from .kit import release, settle, stash
 
 #: (verdict, host/path): the host and all its subdomains, paths that start with /path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -94,4 +94,4 @@ def link_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     bad = score.where(F.col("score") < -margin).select("host", F.lit("block").alias("graph"))
     out = judged.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", "graph", F.lit("allow")).alias("verdict"))
     release(seeds, links)
-    return release_with(out, judged, ranks)
+    return settle(out, judged, ranks)

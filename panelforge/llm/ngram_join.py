@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import U64, bloom_of, column, components, mix, release, release_with, run_hash, seg_index, stash, text_slices, words_of
+from .kit import U64, bloom_of, column, components, mix, release, run_hash, seg_index, settle, stash, text_slices, words_of
 
 #: Hash orders whose least token makes stars.
 STARS = 6
@@ -371,7 +371,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ids = named.join(least, "comp").select(F.col("cls").alias("c1"), "c2", "component_id")
     out = rows.select("doc_id", "m", "c1", "c2").join(ids, ["c1", "c2"], "left").select("doc_id", F.col("m").alias("n_shingles"), F.when(F.col("m") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     release(index, live, first, links, more, *used, *used2)
-    return release_with(out, scan, classes, whole)
+    return settle(out, scan, classes, whole)
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:

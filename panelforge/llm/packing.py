@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import column, release_with, stash, text_slices, words_of
+from .kit import column, settle, stash, text_slices, words_of
 
 #: Lengths up to this are told apart one by one; beyond, in steps of 1/64 of their power of two.
 EXACT = 1024
@@ -112,4 +112,4 @@ def pack(lengths: DataFrame, *, id_col: str = "doc_id", length_col: str = "lengt
         (pick(starts) + F.floor(F.col("rank") / F.col("cap"))).cast("bigint").alias("batch_id"), (F.col("rank") % F.col("cap")).cast("bigint").alias("slot"),
         (pick(bounds) - F.col("length")).alias("padding"),
     )
-    return release_with(out, rows)
+    return settle(out, rows)

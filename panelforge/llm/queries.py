@@ -75,6 +75,12 @@ def op10_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(docs, filters).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_length_buckets": op8_length_buckets,
         "op9_block_naming_dedup": op9_block_naming_dedup,
         "op10_bitmask_langid": op10_bitmask_langid,
+        "pipeline": pipeline,
     }
 
 

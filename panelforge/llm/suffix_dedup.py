@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import _BASE, U64, bloom_of, column, mix, release, release_with, stash, text_slices, words_of
+from .kit import _BASE, U64, bloom_of, column, mix, release, settle, stash, text_slices, words_of
 
 K, W, KEY, SIDE = 8, 16, 32, 18
 _NO_ID = -(1 << 63)
@@ -209,4 +209,4 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spans = spans.selectExpr("*", "sum(cast(before is null or start > before as int)) over (partition by doc order by start, stop rows unbounded preceding) as span")
     out = spans.groupBy("doc", "span").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("partner").alias("partner_id"))
     out = out.select(F.expr("case when doc = -9223372036854775808 then null else doc end").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.expr("case when partner_id = -9223372036854775808 then null else partner_id end").alias("partner_id"))
-    return release_with(out, found)
+    return settle(out, found)
