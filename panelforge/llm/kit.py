@@ -1,18 +1,16 @@
-"""Shared building blocks: durable intermediate tables, numpy text hashing over
-Arrow batches, Bloom filters of fixed size, connected components."""
+"""Shared building blocks: numpy text hashing over Arrow batches, Bloom filters of fixed size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import components, release, settle, stash  # noqa: F401
+
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -20,61 +18,6 @@ U64 = np.uint64
 _MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
 
 
-# --- durable intermediate tables -------------------------------------------
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, set here only if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="panelforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is None:
-            return
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: nothing is left to clean with
-        pass
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs a re-read, never a replay of the
-    plan, and pins values that would differ between two runs of a stage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelforge/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the files of stashed tables that no later plan reads."""
-    for df in frames:
-        if path := getattr(df, "_stash_path", None):
-            _remove(df.sparkSession, path)
-
-
-def settle(result: DataFrame, *frames: DataFrame) -> DataFrame:
-    """Stash a result and delete the stashed tables it was made from.
-
-    The stashed result itself stays until the program ends: plans that the caller
-    derives from it read its files at any later time.
-    """
-    out = stash(result)
-    release(*frames)
-    return out
-
-
 # --- Arrow helpers -----------------------------------------------------------
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -256,36 +199,3 @@ def bloom_of(df: DataFrame, key: str, bits: int = 1 << 24) -> Bloom:
     for row in parts.select("r", "blob").collect():
         whole[row.r * step:(row.r + 1) * step] = np.frombuffer(row.blob, np.uint8)
     return Bloom(bits, words=whole)
-
-
-# --- connected components ----------------------------------------------------------
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list: (node, comp), comp the least node.
-
-    Alternating large-star and small-star steps; every step is a grouped minimum
-    (combined before the shuffle, so a node with very many links is no hot key)
-    and a join that AQE may split. Rounds are stashed; the loop ends when a round
-    changes nothing. Nodes without edges are not listed.
-    """
-    e = stash(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark or not now[0]:
-            break
-        mark = tuple(now)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        step = stash(small)
-        release(e)
-        e = step
-    star = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    out = stash(star.union(roots))
-    release(e)
-    return out
