@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_panel  # noqa: F401
+from . import catalog_panel, catalog_partitions  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
