@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kit import release, settle, stash
+from .sieve import semi
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,7 +34,7 @@ def _named(keys: DataFrame, *cols: str) -> DataFrame:
     return stash(order.withColumn("name", F.monotonically_increasing_id() + 1))
 
 
-def block_naming_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+def block_naming_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """Groups of rows whose texts are equal after lower-casing A-Z only.
 
     One row per input row: doc_id, keep_id (the largest doc_id of the group),
@@ -46,15 +47,16 @@ def block_naming_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), norm.alias("norm"))
     rows = stash(docs.select("doc_id", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("len"), F.sha2("norm", 256).alias("sha")))
-    again = rows.groupBy("h", "len").agg(F.count("*").alias("n")).where("n > 1").select("h", "len")
-    texts = docs.select("doc_id", "norm", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("len")).join(again, ["h", "len"], "left_semi")
+    again = stash(rows.groupBy("h", "len").agg(F.count("*").alias("n")).where("n > 1").select("h", "len"))
+    # only texts that may be in such a group are shuffled
+    texts = semi(docs.select("doc_id", "norm", F.xxhash64("norm").alias("h"), F.octet_length("norm").alias("len")), again, ["h", "len"])
     # (?s).{1,n} cuts in one pass over the text; an empty text is one empty block
     cut = F.when(F.col("len") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
     blocks = stash(texts.select("doc_id", F.sha2("norm", 256).alias("sha"), F.posexplode(cut).alias("i", "block")).distinct())
 
     names = _named(blocks, "block")
     level = stash(blocks.join(names, "block").select("doc_id", "sha", "i", "name"))
-    release(names, blocks)
+    release(again, names, blocks)
     while (level.agg(F.max("i")).first()[0] or 0) > 0:
         at = lambda odd: F.max(F.when(F.col("i") % 2 == odd, F.col("name")))
         pairs = stash(level.groupBy("doc_id", "sha", F.floor(F.col("i") / 2).alias("i")).agg(at(0).alias("left"), F.coalesce(at(1), F.lit(0)).alias("right")))
