@@ -16,6 +16,7 @@ from panelforge.llm.ngram_join import ngram_jaccard_join
 from panelforge.llm.packing import pack, word_counts
 from panelforge.llm.pii import mask_column
 from panelforge.llm.quality import fit_quality, fold, keep_good
+from panelforge.llm.sieve import anti, maybe_in
 from panelforge.session import read_table
 
 
@@ -33,9 +34,14 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
-    gone = stash(block_naming_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct())
-    same_text = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256) == gone.gone_text
-    return _one_row_each(docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & same_text, "left_anti"))
+    gone = stash(block_naming_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct())
+    # an id may stand for several texts: the text's hash decides with it, where the id is in doubt
+    ids = stash(gone.select("doc_id").distinct())
+    doubt = maybe_in(ids.select(F.xxhash64("doc_id").alias("h")), "h")(F.xxhash64("doc_id"))
+    near = docs.where(doubt).withColumn("_sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    other = gone.select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_gone"))
+    kept = near.join(other, near.doc_id.eqNullSafe(other._id) & (near._sha == other._gone), "left_anti").drop("_sha")
+    return _one_row_each(docs.where(~doubt).unionByName(kept))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     An id that several texts share goes only if each of them would.
     """
     linked = ngram_jaccard_join(docs)
-    gone = stash(linked.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("go")).where("go").select(F.col("doc_id").alias("gone_id")))
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    gone = stash(linked.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("go")).where("go").select("doc_id"))
+    return anti(docs, gone, ["doc_id"])
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
