@@ -10,9 +10,9 @@ Plan:
 1. One scan gives each document its size, the hash of its set (equal sets are one
    *class* from here on, so copies cost nothing further), the least token of
    a few hash orders, and a sketch of token frequencies in fixed-size slots.
-2. Stars: the classes with one least token are compared with one centre only, a
-   number of pairs linear in the documents however large the group. Verified
-   links are merged into components.
+2. Stars: the classes with one least token are compared with one centre only (the
+   one with the fewest rare tokens: edits make rare tokens), a number of pairs linear in
+   the documents however large the group. Verified links are merged into components.
 3. Order 1 ranks tokens by frequency level, then hash, so what many documents
    share comes last. Prefix tokens held by classes of more than one component
    give pairs; inside a component nothing is left to find out, so a large group of
@@ -283,6 +283,18 @@ def _judge(pairs: DataFrame, blobs: DataFrame, test: Callable) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _rare_counts(order) -> Callable:
+    """Payload for ``_fetch``: the number of tokens of the lowest frequency level, four bytes, highest first."""
+
+    def payload(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        low = order.value.levels[((tokens >> U64(20)) & U64(len(order.value.levels) - 1)).astype(np.int64)] == 0
+        sums = np.concatenate(([0], np.cumsum(low)))
+        ends = np.cumsum(sizes)
+        return [int(x).to_bytes(4, "big") for x in sums[ends] - sums[ends - sizes]]
+
+    return payload
+
+
 def _filter_test(x, y) -> bool:
     """Do the blobs (32-bit prefix keys of each order, lengths first) share a token in every order?"""
     x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
@@ -337,9 +349,17 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     firsts = [F.first(s).alias(s) for s in stars]
     classes = stash(rows.where("m > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("m").alias("m"), *firsts).select(F.col("c1").alias("cls"), "c2", "rep", "copies", "m", *stars))
 
-    # 2. stars: one centre for each least token, the class with most copies
-    members = classes.select("cls", "m", "copies", F.posexplode(F.array(*stars)).alias("k", "least"))
-    centre = members.groupBy("k", "least").agg(F.max(F.struct("copies", F.negative("cls").alias("neg"), "m")).alias("c"), F.count("*").alias("size")).where("size > 1").select("k", "least", F.negative("c.neg").alias("b"), F.col("c.m").alias("mb"))
+    # 2. stars: one centre for each least token, the class with the fewest rare tokens (an original
+    # has none of the tokens that edits made), then with most copies
+    every = classes.select("cls", "m", "copies", F.posexplode(F.array(*stars)).alias("k", "least"))
+    held = every.groupBy("k", "least").agg(F.count("*").alias("size")).where("size > 1").select("k", "least")
+    members = stash(every.join(held, ["k", "least"]))
+    wanted = share(bloom_of(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "rep"))
+    rare = _fetch(docs, n, wanted, _rare_counts(share(Order(0, levels)))).select("cls", F.conv(F.hex("blob"), 16, 10).cast("bigint").alias("rare"))
+    marked = stash(members.join(rare, "cls", "left"))
+    release(members)
+    members = marked
+    centre = members.groupBy("k", "least").agg(F.min(F.struct("rare", F.negative("copies").alias("fewer"), "cls", "m")).alias("c")).select("k", "least", F.col("c.cls").alias("b"), F.col("c.m").alias("mb"))
     close = f"least(m, mb) * {den} >= greatest(m, mb) * {num}"
     pairs = members.join(centre, ["k", "least"]).where(f"cls <> b and {close}").select(F.col("cls").alias("a"), "b").distinct()
     links, used = _confirm(docs, classes, stash(pairs), n, num, den, levels)
@@ -370,7 +390,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "comp").select(F.col("cls").alias("c1"), "c2", "component_id")
     out = rows.select("doc_id", "m", "c1", "c2").join(ids, ["c1", "c2"], "left").select("doc_id", F.col("m").alias("n_shingles"), F.when(F.col("m") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    release(index, live, first, links, more, *used, *used2)
+    release(members, index, live, first, links, more, *used, *used2)
     return settle(out, scan, classes, whole)
 
 
