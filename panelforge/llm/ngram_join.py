@@ -27,6 +27,7 @@ or implied by a path of verified links.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -142,39 +143,35 @@ def _profile(docs: DataFrame, n: int, slots: int) -> DataFrame:
     """First scan: a row for each document, and each task's share of the sketch."""
     step = slots // _RANGES
     stars = [f"s{k}" for k in range(STARS)]
-    form = f"doc_id bigint, m bigint, c1 bigint, c2 bigint, {', '.join(f'{s} bigint' for s in stars)}, r int, dense boolean, blob binary"
-    schema = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), *((s, pa.int64()) for s in stars), ("r", pa.int32()), ("dense", pa.bool_()), ("blob", pa.binary())])
+    form = f"doc_id bigint, m bigint, c1 bigint, c2 bigint, {', '.join(f'{s} bigint' for s in stars)}, r int, blob binary"
+    schema = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), *((s, pa.int64()) for s in stars), ("r", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, loose, n_loose = None, [], 0
+        counts, loose, n_loose = np.zeros(slots, np.uint32), [], 0
+
+        def take_in() -> None:
+            nonlocal counts, loose, n_loose
+            if loose:
+                counts += np.bincount(np.concatenate(loose), minlength=slots).astype(np.uint32)
+                loose, n_loose = [], 0
+
         for b in batches:
             for rows, data, offs in text_slices(b, "text"):
                 tokens, sizes = shingle_sets(data, offs, n)
                 c1, c2 = _classes(tokens, sizes)
                 cols = [column(rows, "doc_id"), pa.array(sizes), _signed(c1), _signed(c2), *(_signed(_least(tokens, sizes, k)) for k in range(STARS))]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(rows), f.type) for f in list(schema)[-3:])], schema=schema)
-                slot = ((tokens >> U64(20)) & U64(slots - 1)).astype(np.int64)
-                if counts is None:
-                    loose.append(slot.astype(np.int32))
-                    n_loose += len(slot)
-                    if n_loose * 2 > slots:
-                        counts = np.bincount(np.concatenate(loose), minlength=slots)
-                        loose = []
-                else:
-                    counts += np.bincount(slot, minlength=slots)
-        # few tokens: their places (2 bytes each or more); many: a byte or more for each slot
-        parts = []
-        if counts is not None:
-            for r in range(_RANGES):
-                own = counts[r * step:(r + 1) * step]
-                parts.append((r, True, own.astype(np.uint8 if own.max(initial=0) < 256 else np.uint32).tobytes()))
-        elif n_loose:
-            places = np.sort(np.concatenate(loose))
-            cut = np.searchsorted(places, np.arange(_RANGES + 1) * step)
-            parts = [(r, False, (places[cut[r]:cut[r + 1]] - r * step).astype(np.uint16 if step <= 1 << 16 else np.uint32).tobytes()) for r in range(_RANGES) if cut[r] < cut[r + 1]]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(rows), f.type) for f in list(schema)[-2:])], schema=schema)
+                loose.append(((tokens >> U64(20)) & U64(slots - 1)).astype(np.int32))
+                n_loose += len(tokens)
+                if n_loose * 4 > slots:
+                    take_in()
+        take_in()
+        # deflated: a task that saw little text sends little, one that saw much a few bits a slot
+        parts = [(r, own) for r in range(_RANGES) if (own := counts[r * step:(r + 1) * step]).any()]
         if parts:
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(schema)[:-3]), pa.array([x[0] for x in parts], pa.int32()), pa.array([x[1] for x in parts]), pa.array([x[2] for x in parts], pa.binary())], schema=schema)
+            blobs = [zlib.compress(own.astype(np.uint8 if own.max() < 256 else np.uint32).tobytes(), 1) for _, own in parts]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(schema)[:-2]), pa.array([r for r, _ in parts], pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, form)
 
@@ -189,31 +186,26 @@ def _sketch_levels(parts: DataFrame, slots: int) -> np.ndarray:
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(step, np.int64)
-        for dense, blob in zip(t.column("dense").to_pylist(), t.column("blob"), strict=True):
-            raw = blob.as_buffer()
-            if dense is None:
-                total += np.frombuffer(raw, np.int64)
-            elif dense:
-                total += np.frombuffer(raw, np.uint8 if len(raw) == step else np.uint32)
-            else:
-                total += np.bincount(np.frombuffer(raw, np.uint16 if step <= 1 << 16 else np.uint32), minlength=step)
-        return pa.table({"r": t.column("r")[:1], "salt": t.column("salt")[:1].cast(pa.int32()), "dense": pa.nulls(1, pa.bool_()), "blob": pa.array([total.tobytes()], pa.binary())})
-
-    form = "r int, salt int, dense boolean, blob binary"
-    parts = parts.select("r", (F.spark_partition_id() % 32).alias("salt"), "dense", "blob")
+        for blob in t.column("blob"):
+            raw = zlib.decompress(blob.as_buffer())
+            total += np.frombuffer(raw, {step: np.uint8, 4 * step: np.uint32, 8 * step: np.int64}[len(raw)])
+        return pa.table({"r": t.column("r")[:1], "salt": t.column("salt")[:1].cast(pa.int32()), "blob": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    form = "r int, salt int, blob binary"
+    parts = parts.select("r", (F.spark_partition_id() % 32).alias("salt"), "blob")
     sums = parts.groupBy("r", "salt").applyInArrow(add, form).groupBy("r").applyInArrow(add, form)
 
     def level(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for x in column(b, "blob"):
-                c = np.frombuffer(x.as_buffer(), np.int64)
+                c = np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
                 out.append(np.ceil(np.log2(np.maximum(c - mean - 3 * mean**0.5, 0) + 1)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([column(b, "r"), pa.array(out, pa.binary())], ["r", "blob"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in column(b, "blob")], pa.int64())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(zlib.decompress(x.as_buffer()), np.int64).sum()) for x in column(b, "blob")], pa.int64())], ["n"])
 
     kept = stash(sums.select("r", "blob"))
     mean = max(1.0, (kept.mapInArrow(total, "n bigint").agg(F.sum("n")).first()[0] or 0) / slots)
@@ -339,7 +331,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     num, den = t.numerator, t.denominator
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if slots is None:
-        slots = 1 << min(26, max(20, (docs.count() * 16).bit_length()))
+        slots = 1 << min(26, max(20, (docs.count() * 8).bit_length()))
     share = spark.sparkContext.broadcast
 
     scan = stash(_profile(docs, n, slots))
