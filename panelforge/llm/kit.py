@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..durable import components, release, settle, stash  # noqa: F401
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 U64 = np.uint64
 _MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
