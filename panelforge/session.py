@@ -12,8 +12,15 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once for each Spark application."""
+    """Make this package importable in Python workers, once for each Spark application.
+
+    Arrow batches to Python are held to 8 MB where the session still has Spark's
+    default of 64 MB: texts are long, and workers share the executor's memory.
+    """
     sc = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, "") == "67108864b":
+        spark.conf.set(size, "8m")
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
