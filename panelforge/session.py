@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(size, "") == "67108864b":
+    if spark.conf.get(size) == "67108864b":
         spark.conf.set(size, "8m")
     if sc.applicationId in _shipped:
         return
