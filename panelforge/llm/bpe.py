@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import column, text_slices
+from .kit import column, text_slices, tidy
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 
@@ -108,7 +108,7 @@ def bpe_encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     cols += [pa.array([[o[k] for o in g.offsets] for g in got], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "starts", "ends"][:len(cols)])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, form)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), form)
 
 
 def bpe_decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def bpe_decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "id
             raw = [decode_bytes(x or (), table) for x in column(b, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw])], ["doc_id", "raw", "text"])
 
-    return encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id bigint, raw binary, text string")
+    return encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run), "doc_id bigint, raw binary, text string")
 
 
 def bpe_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -146,4 +146,4 @@ def bpe_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 )
 
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import _TABLE, U64, column, prefix_hash, span_hash, text_slices
+from .kit import _TABLE, U64, column, prefix_hash, span_hash, text_slices, tidy
 
 WINDOW = 7
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -168,7 +168,7 @@ def ctph_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for rows, data, offs in text_slices(b, "text"):
                 yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array([written(s) for s in signatures(data, offs)])], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fingerprint string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, fingerprint string")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,4 +237,4 @@ def ctph_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    return with_next(docs, id_col, text_col).mapInArrow(run, form)
+    return with_next(docs, id_col, text_col).mapInArrow(tidy(run), form)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,25 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         at = end
 
 
+def tidy(run: Callable) -> Callable:
+    """Wrap a batch function: when its task ends, give freed memory back to the system.
+
+    Python workers are reused and share the executor's memory with the JVM; what
+    one stage freed should not count against the next.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
     return rows.column(rows.schema.get_field_index(name))
 
@@ -193,7 +215,7 @@ def bloom_of(df: DataFrame, key: str, bits: int = 1 << 24) -> Bloom:
 
     # two levels, so that no task holds the blobs of very many tasks
     form = "r int, salt int, blob binary"
-    parts = df.select(key).mapInArrow(build, "r int, blob binary").withColumn("salt", F.spark_partition_id() % 64)
+    parts = df.select(key).mapInArrow(tidy(build), "r int, blob binary").withColumn("salt", F.spark_partition_id() % 64)
     parts = parts.groupBy("r", "salt").applyInArrow(merge, form).groupBy("r").applyInArrow(merge, form)
     whole = np.zeros(bits >> 3, np.uint8)
     for row in parts.select("r", "blob").collect():

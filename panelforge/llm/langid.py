@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import _BASE, _LOWER_TABLE, U64, column, mix, text_slices
+from .kit import _BASE, _LOWER_TABLE, U64, column, mix, text_slices, tidy
 
 #: Fit bounds: training documents of a language, characters of each, and languages of one filter word.
 DOCS, CHARS, LANGUAGES = 1500, 3000, 64
@@ -149,4 +149,4 @@ def detect_languages(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, lang_pred string, score double")

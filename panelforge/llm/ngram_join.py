@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import U64, bloom_of, column, components, mix, release, run_hash, seg_index, settle, stash, text_slices, words_of
+from .kit import U64, bloom_of, column, components, mix, release, run_hash, seg_index, settle, stash, text_slices, tidy, words_of
 
 #: Hash orders whose least token makes stars.
 STARS = 6
@@ -173,7 +173,7 @@ def _profile(docs: DataFrame, n: int, slots: int) -> DataFrame:
             blobs = [zlib.compress(own.astype(np.uint8 if own.max() < 256 else np.uint32).tobytes(), 1) for _, own in parts]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(schema)[:-2]), pa.array([r for r, _ in parts], pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, form)
+    return docs.mapInArrow(tidy(run), form)
 
 
 def _sketch_levels(parts: DataFrame, slots: int) -> np.ndarray:
@@ -208,7 +208,7 @@ def _sketch_levels(parts: DataFrame, slots: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(zlib.decompress(x.as_buffer()), np.int64).sum()) for x in column(b, "blob")], pa.int64())], ["n"])
 
     kept = stash(sums.select("r", "blob"))
-    mean = max(1.0, (kept.mapInArrow(total, "n bigint").agg(F.sum("n")).first()[0] or 0) / slots)
+    mean = max(1.0, (kept.mapInArrow(tidy(total), "n bigint").agg(F.sum("n")).first()[0] or 0) / slots)
     levels = np.zeros(slots, np.uint8)
     for row in kept.mapInArrow(lambda bs: level(bs, mean), "r int, blob binary").collect():
         levels[row.r * step:(row.r + 1) * step] = np.frombuffer(row.blob, np.uint8)
@@ -233,7 +233,7 @@ def _index(docs: DataFrame, n: int, order, num: int, den: int, only=None) -> Dat
                 else:
                     yield pa.RecordBatch.from_arrays([_signed(keys), _signed(cls)], ["token", "cls"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, cls bigint" + ("" if only is None else ", pos bigint, m bigint"))
+    return docs.select("text").mapInArrow(tidy(run), "token bigint, cls bigint" + ("" if only is None else ", pos bigint, m bigint"))
 
 
 def _fetch(docs: DataFrame, n: int, wanted, payload: Callable) -> DataFrame:
@@ -252,7 +252,7 @@ def _fetch(docs: DataFrame, n: int, wanted, payload: Callable) -> DataFrame:
                 new = [i for i, c in enumerate(cls.tolist()) if not (c in seen or seen.add(c))]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([blobs[i] for i in new], pa.binary())], ["cls", "blob"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cls bigint, blob binary").dropDuplicates(["cls"])
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "cls bigint, blob binary").dropDuplicates(["cls"])
 
 
 def _bytes_of(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -272,7 +272,7 @@ def _judge(pairs: DataFrame, blobs: DataFrame, test: Callable) -> DataFrame:
             t = t.take(pa.array(good, pa.int64()))
             yield pa.RecordBatch.from_arrays([column(t, "a"), column(t, "b")], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _rare_counts(order) -> Callable:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import column, settle, stash, text_slices, words_of
+from .kit import column, settle, stash, text_slices, tidy, words_of
 
 #: Lengths up to this are told apart one by one; beyond, in steps of 1/64 of their power of two.
 EXACT = 1024
@@ -28,7 +28,7 @@ def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for rows, data, offs in text_slices(b, "text"):
                 yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(np.diff(words_of(data, offs)[1]).astype(np.int64))], ["doc_id", "length"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, length bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, length bigint")
 
 
 def histogram_bin(length: Column) -> Column:

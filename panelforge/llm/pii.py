@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import column, text_slices
+from .kit import column, text_slices, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -151,7 +151,7 @@ def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     cols.append(pa.array([mask_pii(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "masked"][:len(cols)])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, form)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), form)
 
 
 def mask_column(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -161,9 +161,10 @@ def mask_column(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            texts = [mask_pii(t, s) if t and (s := find_pii(t)) else t for t in b.column(at).to_pylist()]
-            cols = list(b.columns)
-            cols[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+            for rows, _, _ in text_slices(b, text_col):
+                texts = [mask_pii(t, s) if t and (s := find_pii(t)) else t for t in rows.column(at).to_pylist()]
+                cols = list(rows.columns)
+                cols[at] = pa.array(texts, rows.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(cols, schema=rows.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import column, text_slices
+from .kit import column, text_slices, tidy
 
 #: Fit bounds: labelled documents of each class whose text fills a dictionary,
 #: characters of each, bytes of a dictionary, and labelled documents to calibrate on.
@@ -116,7 +116,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
             rows = [features(t.encode(), *_compressors(*shared.value)) for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "y"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    seen = sorted((r.doc_id, r.x, r.y) for r in texts.where("role = 0").select("doc_id", "y", "text").mapInArrow(measure, "doc_id bigint, y int, x array<double>").collect())
+    seen = sorted((r.doc_id, r.x, r.y) for r in texts.where("role = 0").select("doc_id", "y", "text").mapInArrow(tidy(measure), "doc_id bigint, y int, x array<double>").collect())
     y = np.array([r[2] for r in seen], float)
     if len(set(y.tolist())) < 2:
         return Model(b"", b"", None, float(few[1] / (few[0] + few[1])))
@@ -138,7 +138,7 @@ def quality_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -150,4 +150,4 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", least: f
             for rows, _, _ in text_slices(b, text_col):
                 yield rows.filter(pa.array([shared.value.score(t or "") >= least for t in column(rows, text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import _BASE, U64, bloom_of, column, mix, release, settle, stash, text_slices, words_of
+from .kit import _BASE, U64, bloom_of, column, mix, release, settle, stash, text_slices, tidy, words_of
 
 K, W, KEY, SIDE = 8, 16, 32, 18
 _NO_ID = -(1 << 63)
@@ -178,7 +178,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 ids = column(rows, "doc_id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[text])], ["key", "doc"])
 
-    shared = docs.mapInArrow(keys, "key bigint, doc bigint").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    shared = docs.mapInArrow(tidy(keys), "key bigint, doc bigint").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
     sieve = spark.sparkContext.broadcast(bloom_of(shared, "key", 1 << 26))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     order = ["key", "right", "left", "doc", "place"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     # the whole order deals out one much-repeated passage over several partitions
-    array = docs.mapInArrow(rows_of, _FORM).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    array = docs.mapInArrow(tidy(rows_of), _FORM).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     form = "doc bigint, start bigint, stop bigint, partner bigint, key_ bigint, right_ binary, left_ binary, doc_ bigint, place_ bigint"
     found = stash(array.mapInArrow(lambda bs: _neighbours(bs, min_words, True), form))
     # first and last rows of the partitions, two for each: the neighbours across their bounds
