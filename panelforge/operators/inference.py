@@ -187,7 +187,7 @@ def replicates(df: DataFrame, reps: int) -> DataFrame:
 
 def permuted_means(df: DataFrame, key: str, stratum: str, flag: str, value: str, reps: int, seed: int) -> DataFrame:
     """(rep, mean): mean value of as many hash-chosen rows in each stratum as are flagged there."""
-    m = df.groupBy(stratum).agg(F.count_if(flag).alias("m"))
+    m = df.groupBy(stratum).agg(F.count_if(F.expr(flag)).alias("m"))
     x = replicates(df.join(m, stratum), reps).withColumn("u", hash_uniform(seed, F.col("rep"), F.col(key)))
     x = x.selectExpr("rep", value, "m", f"row_number() over (partition by rep, {stratum} order by u, {key}) as place").where("place <= m")
     return x.groupBy("rep").agg(F.avg(value).alias("mean"))

@@ -54,6 +54,7 @@ def s_dbw(points: DataFrame, *, spread: str = "sd", radius: str = "mean", inside
     those norms (``mean``), or the root of their sum over K (``root``); ``inside``: count points within
     the closed ball, else outside; ``zero``: 0/0 counts as 0 and x/0 is undefined
     (``zero_for_zero``), or any zero denominator is undefined (``undefined``), or counts as 1 (``floor``).
+    A midpoint counts members of its two clusters, a centre those of its own.
     Undefined for K < 2 or no dispersion.
     """
     centres = _centres(points, spread)
@@ -65,7 +66,7 @@ def s_dbw(points: DataFrame, *, spread: str = "sd", radius: str = "mean", inside
     # each class pair meets the members of its two classes only
     meets = pairs.select("g", "la", "lb", F.explode(F.array("la", "lb")).alias("label"), "ca", "cb", "mid").join(points.select("g", "label", "vec"), ["g", "label"]).join(base.select("g", "r"), "g")
     hit = lambda c, own=None: F.count_if(((euclid(F.col("vec"), F.col(c)) <= F.col("r")) if inside else (euclid(F.col("vec"), F.col(c)) > F.col("r"))) & (F.lit(True) if own is None else F.col("label") == F.col(own)))
-    dens = meets.groupBy("g", "la", "lb").agg(hit("mid").alias("d_mid"), hit("ca").alias("d_a"), hit("cb").alias("d_b"))
+    dens = meets.groupBy("g", "la", "lb").agg(hit("mid").alias("d_mid"), hit("ca", "la").alias("d_a"), hit("cb", "lb").alias("d_b"))
     top = "greatest(d_a, d_b)"
     rule = {"zero_for_zero": f"case when {top} > 0 then d_mid / {top} when d_mid = 0 then 0.0 end", "undefined": f"case when {top} > 0 then d_mid / {top} end", "floor": f"d_mid / greatest({top}, 1)"}[zero]
     dens = dens.withColumn("ratio", F.expr(rule))

@@ -256,7 +256,7 @@ def supra_edges(spark, d):
     return supra(spark, d)
 
 
-_H = "((({0} * 48271) % 2147483647) * 16807 + 11) % 2147483647"
+_H = "xor((xor(({0} * 48271) % 2147483647, 1540483477) * 16807 + 11) % 2147483647, 668265261)"
 
 
 def _hash_sql(*parts: str) -> str:

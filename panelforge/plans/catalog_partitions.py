@@ -193,7 +193,7 @@ def calinski_harabasz(spark, d):
 def _sdbw_sql(term: str, radius: str, inside: str, rule: str) -> tuple[str, str]:
     cte = _LONG + f""", cv AS (SELECT label, list(m ORDER BY dim) AS c, sqrt(sum({term.format('v')})) AS sd FROM ce GROUP BY label), k AS (SELECT count(*) AS k, avg(sd) AS sd_mean, {radius} AS r FROM cv),
  pp AS (SELECT a.label AS la, b.label AS lb, a.c AS ca, b.c AS cb, list_transform(list_zip(a.c, b.c), lambda z: (z[1] + z[2]) / 2) AS mid FROM cv a JOIN cv b ON a.label < b.label),
- dn AS (SELECT la, lb, count(*) FILTER (list_distance(e.v, mid) {inside} r) AS dm, greatest(count(*) FILTER (list_distance(e.v, ca) {inside} r), count(*) FILTER (list_distance(e.v, cb) {inside} r)) AS top FROM pp JOIN e ON e.label IN (la, lb), k GROUP BY la, lb),
+ dn AS (SELECT la, lb, count(*) FILTER (list_distance(e.v, mid) {inside} r) AS dm, greatest(count(*) FILTER (e.label = la AND list_distance(e.v, ca) {inside} r), count(*) FILTER (e.label = lb AND list_distance(e.v, cb) {inside} r)) AS top FROM pp JOIN e ON e.label IN (la, lb), k GROUP BY la, lb),
  ra AS (SELECT *, {rule} AS ratio FROM dn)"""
     sql = f"SELECT k, sd_mean / (SELECT sqrt(sum({term.format('v')})) FROM al) AS scatter, CASE WHEN und = 0 THEN mean END AS density, CASE WHEN und = 0 THEN sd_mean / (SELECT sqrt(sum({term.format('v')})) FROM al) + mean END AS s_dbw, und AS undefined_pairs, zp AS zero_pairs FROM k, (SELECT avg(ratio) AS mean, count(*) FILTER (ratio IS NULL) AS und, count(*) FILTER (top = 0 AND dm = 0) AS zp FROM ra)"
     return cte, sql

@@ -20,15 +20,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """A stream's event time must carry a zone; a batch is taken as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, event_type, n, total) by event time; rows later than the watermark are dropped by a stream."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    w = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
     """(user_id, start, end, n): sessions closed by a gap."""
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    w = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return w.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
