@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import settle, stash
 from ..functions.columns import MAD_SCALE, over
 from .pairs import median_pair_distance
 
@@ -106,14 +107,20 @@ def vectors(long: DataFrame, value: str, name: str = "vec") -> DataFrame:
 
 
 def features(panel: DataFrame, structure_weight: float = 0.7, level_weight: float = 0.3) -> DataFrame:
-    """(unit, t, vec): CLR block and level, each over its median pairwise distance, times the root of its weight."""
+    """(unit, t, vec): CLR block and level, each over its median pairwise distance, times the root of its weight.
+
+    The panel is written once; both blocks' medians are selected in the same passes.
+    """
+    panel = stash(panel)
     structure = vectors(clr_parts(panel), "clr")
     level = robust_level(panel).select("unit", "t", F.array("z").alias("lvl"))
-    a = median_pair_distance(structure, "t", "unit", "vec").withColumnRenamed("distance", "sa")
-    b = median_pair_distance(level, "t", "unit", "lvl").withColumnRenamed("distance", "sb")
-    both = structure.join(level, ["unit", "t"]).join(F.broadcast(a.join(b, "t")), "t")  # one row for each period
+    blocks = stash(structure.select((F.col("t") * 2).alias("g"), "unit", "vec").union(level.select(F.col("t") * 2 + 1, "unit", "lvl")))
+    scale = median_pair_distance(blocks, "g", "unit", "vec").groupBy(F.floor(F.col("g") / 2).cast("int").alias("t")).agg(
+        F.max(F.when(F.col("g") % 2 == 0, F.col("distance"))).alias("sa"), F.max(F.when(F.col("g") % 2 == 1, F.col("distance"))).alias("sb"))
+    a, b = blocks.where("g % 2 = 0").selectExpr("unit", "cast(g / 2 as int) as t", "vec"), blocks.where("g % 2 = 1").selectExpr("unit", "cast((g - 1) / 2 as int) as t", "vec as lvl")
+    both = a.join(b, ["unit", "t"]).join(F.broadcast(scale), "t")  # one row for each period
     scaled = lambda v, s, w: F.transform(F.col(v), lambda x: x * (w**0.5) / F.col(s))
-    return both.select("unit", "t", F.concat(scaled("vec", "sa", structure_weight), scaled("lvl", "sb", level_weight)).alias("vec"))
+    return settle(both.select("unit", "t", F.concat(scaled("vec", "sa", structure_weight), scaled("lvl", "sb", level_weight)).alias("vec")), panel, blocks)
 
 
 def combine_blocks(blocks: list[tuple[DataFrame, float]], group: str, key: str) -> DataFrame:
