@@ -43,6 +43,8 @@ STARS = 6
 #: Orders of the prefix filters: the first makes pairs, the others must agree.
 ORDERS = 3
 _RANGES = 64
+#: Frequency level of a token three deviations over the mean; what edits make is below it.
+_COMMON = 28
 
 
 def _seed(k: int) -> np.uint64:
@@ -177,7 +179,7 @@ def _profile(docs: DataFrame, n: int, slots: int) -> DataFrame:
 
 
 def _sketch_levels(parts: DataFrame, slots: int) -> np.ndarray:
-    """Frequency level of each slot: 0 up to three deviations over the mean, then one for each doubling of what is beyond.
+    """Frequency level (0 to 63) of each slot: quarters of a deviation about the mean, then half-powers of two beyond six.
 
     Summed on the executors in 64 ranges, two levels deep; the driver gets one
     byte a slot, whatever the corpus.
@@ -200,7 +202,9 @@ def _sketch_levels(parts: DataFrame, slots: int) -> np.ndarray:
             out = []
             for x in column(b, "blob"):
                 c = np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
-                out.append(np.ceil(np.log2(np.maximum(c - mean - 3 * mean**0.5, 0) + 1)).astype(np.uint8).tobytes())
+                z = (c - mean) / mean**0.5
+                far = 40 + np.minimum(23, np.floor(2 * np.log2(np.maximum(z, 6) / 6)))
+                out.append(np.where(z < 6, np.clip(np.floor(4 * (z + 4)), 0, 39), far).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([column(b, "r"), pa.array(out, pa.binary())], ["r", "blob"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +280,10 @@ def _judge(pairs: DataFrame, blobs: DataFrame, test: Callable) -> DataFrame:
 
 
 def _rare_counts(order) -> Callable:
-    """Payload for ``_fetch``: the number of tokens of the lowest frequency level, four bytes, highest first."""
+    """Payload for ``_fetch``: the number of tokens of usual frequency, four bytes, highest first."""
 
     def payload(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        low = order.value.levels[((tokens >> U64(20)) & U64(len(order.value.levels) - 1)).astype(np.int64)] == 0
+        low = order.value.levels[((tokens >> U64(20)) & U64(len(order.value.levels) - 1)).astype(np.int64)] < _COMMON
         sums = np.concatenate(([0], np.cumsum(low)))
         ends = np.cumsum(sizes)
         return [int(x).to_bytes(4, "big") for x in sums[ends] - sums[ends - sizes]]
@@ -331,7 +335,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     num, den = t.numerator, t.denominator
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if slots is None:
-        slots = 1 << min(26, max(20, (docs.count() * 8).bit_length()))
+        slots = 1 << min(26, max(20, (docs.count() * 16).bit_length()))
     share = spark.sparkContext.broadcast
 
     scan = stash(_profile(docs, n, slots))
