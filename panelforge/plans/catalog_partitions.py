@@ -329,7 +329,7 @@ def transition_direction(spark, d):
     return v.select("i", C.transition_direction(F.col("left"), F.col("right"), "A", "B").alias("direction"))
 
 
-@query("affinity_balance", _AFF, "SELECT i, CASE WHEN l + r > 0 THEN (l - r) / (l + r) ELSE 0.0 END AS balance FROM (SELECT i, max(CASE WHEN cls = 1 THEN share END) AS l, max(CASE WHEN cls = 2 THEN share END) AS r FROM sh GROUP BY i)", "balance")
+@query("affinity_balance", _AFF, "SELECT i, CASE WHEN l + r > 0 THEN (l - r) / (l + r) ELSE 0.0 END AS balance FROM (SELECT i, max(CASE WHEN cls = 1 THEN share END) AS l, max(CASE WHEN cls = 2 THEN share END) AS r FROM sh GROUP BY i)", "balance", 8)
 def affinity_balance(spark, d):
     w = S.affinities(_fam(spark, d)).groupBy("i").agg(F.max(F.when(F.col("cls") == 1, F.col("share"))).alias("l"), F.max(F.when(F.col("cls") == 2, F.col("share"))).alias("r"))
     return w.select("i", C.balance(F.col("l"), F.col("r")).alias("balance"))
