@@ -25,7 +25,7 @@ def kruskal(df: DataFrame, group: str, value: str, keys: list[str]) -> DataFrame
     x = average_rank(df if keys else df.withColumn("_one", F.lit(1)), value, by, "_r")
     per = x.groupBy(*by, group).agg(F.count("*").alias("n"), F.sum("_r").alias("r")).groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.expr("r * r / n")).alias("s"))
     ties = x.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.expr("t * t * t - t")).alias("ties"))
-    out = per.join(ties, by).selectExpr(*keys, "n", "k", "(12.0d / (n * (n + 1)) * s - 3 * (n + 1)) / nullif(1 - ties / cast(n * n * n - n as double), 0.0d) as h")
+    out = per.join(ties, by).selectExpr(*keys, "n", "k", "(12.0d / (n * (n + 1)) * s - 3 * (n + 1)) / nullif(1 - coalesce(ties / nullif(cast(n * n * n - n as double), 0.0d), 0.0d), 0.0d) as h")
     return out.selectExpr(*keys, "n", "k", "h", "case when n > k then greatest(0.0d, (h - k + 1) / (n - k)) end as epsilon2")
 
 
@@ -92,21 +92,24 @@ def group_dispersion(df: DataFrame, period: str, group: str, value: str) -> Data
 # --- regression -------------------------------------------------------------------------------
 
 
-def normal_equations(df: DataFrame, xs: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """X'X, X'y, y'y and n as sums over the cluster; p x p numbers reach the driver."""
+def normal_equations(df: DataFrame, xs: list[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """X'X, X'y and n as sums over the cluster; p x p numbers reach the driver."""
     cols = [F.sum(F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j]
-    r = df.agg(*cols, *(F.sum(F.col(a) * F.col(y)).alias(f"v{i}") for i, a in enumerate(xs)), F.sum(F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n")).first()
+    r = df.agg(*cols, *(F.sum(F.col(a) * F.col(y)).alias(f"v{i}") for i, a in enumerate(xs)), F.count("*").alias("n")).first()
     p = len(xs)
     m = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
-    return m, np.array([r[f"v{i}"] for i in range(p)], float), float(r.yy), int(r.n)
+    return m, np.array([r[f"v{i}"] for i in range(p)], float), int(r.n)
 
 
 def ols(df: DataFrame, xs: list[str], y: str) -> dict:
     """Least squares (pseudo-inverse of the normal equations): beta, rss, rank, n, inverse."""
-    m, v, yy, n = normal_equations(df, xs, y)
+    m, v, n = normal_equations(df, xs, y)
     inv = np.linalg.pinv(m, hermitian=True)
     beta = inv @ v
-    return {"beta": beta, "rss": float(yy - beta @ v), "rank": int(np.linalg.matrix_rank(m, hermitian=True)), "n": n, "inverse": inv}
+    # residuals are summed in a pass of their own: y'y - b'X'y would cancel
+    left = F.col(y) - sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
+    rss = float(df.agg(F.sum(left * left)).first()[0] or 0.0)
+    return {"beta": beta, "rss": rss, "rank": int(np.linalg.matrix_rank(m, hermitian=True)), "n": n, "inverse": inv}
 
 
 def hc3(df: DataFrame, xs: list[str], y: str) -> DataFrame:
@@ -211,7 +214,7 @@ def poisson_bootstrap(df: DataFrame, key: str, value: str, keys: list[str], reps
     for k in range(7, -1, -1):
         weight = F.when(F.col("u") < steps[k], k).otherwise(weight)
     x = x.withColumn("w", weight)
-    return x.groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+    return x.groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
 
 
 def interval(draws: DataFrame, value: str, keys: list[str], level: float = 0.95) -> DataFrame:

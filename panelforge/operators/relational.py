@@ -110,7 +110,7 @@ def provenance(data: DataFrame, key: str, indicators: list[str], sources: DataFr
 def coverage(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """One row: keys, covered, share, and the first missing ones as text (a report of at most 20)."""
     x = keys.join(df.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
-    missing = x.where("_hit is null").orderBy(key).limit(20).agg(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("missing"))
+    missing = x.where("_hit is null").orderBy(key).limit(20).agg(F.nullif(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ","), F.lit("")).alias("missing"))
     return x.agg(F.count("*").alias("n"), F.count("_hit").alias("covered")).withColumn("share", F.col("covered") / F.col("n")).crossJoin(missing)
 
 

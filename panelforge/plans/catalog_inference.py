@@ -29,17 +29,17 @@ _RANK = SUPPLIER_CTE + ", rk AS (SELECT *, rank() OVER (ORDER BY wage) + (count(
 _RANKG = SUPPLIER_CTE + ", rk AS (SELECT *, rank() OVER (PARTITION BY region ORDER BY wage) + (count(*) OVER (PARTITION BY region, wage) - 1) / 2 AS r, count(*) OVER (PARTITION BY region) AS n FROM sup)"
 
 
-@query("kruskal_h", _RANK + ", g AS (SELECT band, count(*) AS m, sum(r) AS s, any_value(n) AS n FROM rk GROUP BY band), h AS (SELECT any_value(n) AS n, count(*) AS k, 12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1) AS h FROM g)", "SELECT CAST(n AS BIGINT) AS n, k, h, greatest(0.0, (h - k + 1) / (n - k)) AS epsilon2 FROM h", "h epsilon2")
+@query("kruskal_h", _RANK + ", g AS (SELECT band, count(*) AS m, sum(r) AS s, any_value(n) AS n FROM rk GROUP BY band), h AS (SELECT any_value(n) AS n, count(*) AS k, 12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1) AS h FROM g)", "SELECT CAST(n AS BIGINT) AS n, k, h, CASE WHEN n > k THEN greatest(0.0, (h - k + 1) / (n - k)) END AS epsilon2 FROM h", "h epsilon2")
 def kruskal_h(spark, d):
     return I.kruskal(B.suppliers(spark, d), "band", "wage", [])
 
 
-@query("kruskal_within_region", _RANKG + ", g AS (SELECT region, band, count(*) AS m, sum(r) AS s, any_value(n) AS n FROM rk GROUP BY region, band), h AS (SELECT region, any_value(n) AS n, count(*) AS k, 12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1) AS h FROM g GROUP BY region)", "SELECT region, CAST(n AS BIGINT) AS n, k, h, greatest(0.0, (h - k + 1) / (n - k)) AS epsilon2 FROM h", "h epsilon2")
+@query("kruskal_within_region", _RANKG + ", g AS (SELECT region, band, count(*) AS m, sum(r) AS s, any_value(n) AS n FROM rk GROUP BY region, band), h AS (SELECT region, any_value(n) AS n, count(*) AS k, 12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1) AS h FROM g GROUP BY region)", "SELECT region, CAST(n AS BIGINT) AS n, k, h, CASE WHEN n > k THEN greatest(0.0, (h - k + 1) / (n - k)) END AS epsilon2 FROM h", "h epsilon2")
 def kruskal_within_region(spark, d):
     return I.kruskal(B.suppliers(spark, d), "band", "wage", ["region"])
 
 
-_U = SUPPLIER_CTE + ", u AS (SELECT a.band AS a, b.band AS b, count(DISTINCT a.unit) AS na, count(DISTINCT b.unit) AS nb, sum(CASE WHEN a.wage > b.wage THEN 1.0 WHEN a.wage = b.wage THEN 0.5 ELSE 0 END) AS u, avg(CASE WHEN a.wage > b.wage THEN 1.0 WHEN a.wage < b.wage THEN -1.0 ELSE 0 END) AS delta FROM sup a JOIN sup b ON a.band < b.band GROUP BY ALL)"
+_U = SUPPLIER_CTE + ", u AS (SELECT a.band AS a, b.band AS b, count(DISTINCT a.unit) AS na, count(DISTINCT b.unit) AS nb, CAST(sum(CASE WHEN a.wage > b.wage THEN 1.0 WHEN a.wage = b.wage THEN 0.5 ELSE 0 END) AS DOUBLE) AS u, CAST(avg(CASE WHEN a.wage > b.wage THEN 1.0 WHEN a.wage < b.wage THEN -1.0 ELSE 0 END) AS DOUBLE) AS delta FROM sup a JOIN sup b ON a.band < b.band GROUP BY ALL)"
 
 
 @query("mann_whitney_u", _U, "SELECT a, b, na, nb, u FROM u", "u")
@@ -110,7 +110,7 @@ def hc3_se(spark, d):
 
 
 @query("partial_r2", _REG + ", a AS (SELECT regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS rss FROM d), b AS (SELECT band3, count(*) AS n FROM (SELECT mid * 1 + high * 2 AS band3 FROM d) GROUP BY 1), q AS (SELECT y - avg(y) OVER (PARTITION BY mid, high) AS dy, x - avg(x) OVER (PARTITION BY mid, high) AS dx FROM d), f AS (SELECT sum(dy * dy) - sum(dx * dy) ** 2 / sum(dx * dx) AS rss FROM q)",
-       "SELECT a.rss AS rss_reduced, f.rss AS rss_full, ((a.rss - f.rss) / 2) / (f.rss / ((SELECT count(*) FROM d) - 4)) AS f, (a.rss - f.rss) / a.rss AS partial_r2 FROM a, f", "rss_reduced rss_full f partial_r2", 4)
+       "SELECT a.rss AS rss_reduced, f.rss AS rss_full, ((a.rss - f.rss) / ((SELECT count(*) FROM b) - 1)) / (f.rss / ((SELECT count(*) FROM d) - 1 - (SELECT count(*) FROM b))) AS f, (a.rss - f.rss) / a.rss AS partial_r2 FROM a, f", "rss_reduced rss_full f partial_r2", 4)
 def partial_r2(spark, d):
     return I.partial_r2(_design(spark, d), ["one", "x"], ["mid", "high"], "y")
 
@@ -176,12 +176,12 @@ _BU = _hash_sql("5", "rep", "unit")
 _POIS = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253])) + " ELSE 8 END"
 
 
-@query("bootstrap_mean_hash", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep))", "SELECT region, CAST(rep AS INTEGER) AS rep, sum(w * wage) / sum(w) AS mean FROM w GROUP BY region, rep", "mean", 4)
+@query("bootstrap_mean_hash", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep))", "SELECT region, CAST(rep AS INTEGER) AS rep, sum(w * wage) / nullif(sum(w), 0) AS mean FROM w GROUP BY region, rep", "mean", 4)
 def bootstrap_mean_hash(spark, d):
     return I.poisson_bootstrap(B.suppliers(spark, d), "unit", "wage", ["region"], 99, 5)
 
 
-@query("bootstrap_interval", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep)), mm AS (SELECT region, rep, sum(w * wage) / sum(w) AS mean FROM w GROUP BY region, rep)", "SELECT region, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM mm GROUP BY region", "low high", 3)
+@query("bootstrap_interval", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep)), mm AS (SELECT region, rep, sum(w * wage) / nullif(sum(w), 0) AS mean FROM w GROUP BY region, rep)", "SELECT region, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM mm GROUP BY region", "low high", 3)
 def bootstrap_interval(spark, d):
     return I.interval(I.poisson_bootstrap(B.suppliers(spark, d), "unit", "wage", ["region"], 99, 5), "mean", ["region"])
 
@@ -190,7 +190,7 @@ def bootstrap_interval(spark, d):
 def p_values(spark, d):
     """Upper tails of the Kruskal statistics (kept apart from compared columns)."""
     t = I.tails(spark)
-    rows = [(r.region, float(t.chi2(r.h, r.k - 1))) for r in I.kruskal(B.suppliers(spark, d), "band", "wage", ["region"]).collect()]
+    rows = [(r.region, float(t.chi2(r.h, r.k - 1))) for r in I.kruskal(B.suppliers(spark, d), "band", "wage", ["region"]).where("k > 1").collect()]
     return spark.createDataFrame(rows, "region bigint, p double")
 
 
