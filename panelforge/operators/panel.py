@@ -43,7 +43,7 @@ def numbered(units: DataFrame, key: str) -> DataFrame:
     """(key, idx): place of each key in the sorted list, from per-range counts and row numbers (no single-task sort)."""
     keys = units.select(key).distinct()
     dealt = keys.repartitionByRange(max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
-    dealt = dealt.withColumn("seq", F.monotonically_increasing_id())
+    dealt = stash(dealt.withColumn("seq", F.monotonically_increasing_id()))  # read twice: the numbers must be the same
     heads = dealt.groupBy("part").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
     before = heads.selectExpr("part", "first", "sum(n) over (order by part) - n as offset")
     return dealt.join(F.broadcast(before), "part").select(key, (F.col("seq") - F.col("first") + F.col("offset")).alias("idx"))
