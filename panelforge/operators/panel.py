@@ -39,6 +39,12 @@ def complete_units(raw: DataFrame, unit: str, category: str, period: str, catego
     return seen.where(F.col("n") == n_periods).groupBy(unit).agg(F.count("*").alias("k")).where(F.col("k") == len(categories)).select(unit)
 
 
+def complete_rows(cells: DataFrame, categories: list, n_periods: int) -> DataFrame:
+    """Rows of the complete units of a table with one row for each (unit, t, category): no second scan, no join."""
+    wanted = F.count_if(F.col("category").isin(categories)).over(over("unit"))
+    return cells.withColumn("_n", wanted).where(F.col("_n") == len(categories) * n_periods).drop("_n")
+
+
 def numbered(units: DataFrame, key: str) -> DataFrame:
     """(key, idx): place of each key in the sorted list, from per-range counts and row numbers (no single-task sort)."""
     keys = units.select(key).distinct()

@@ -35,9 +35,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of the complete units."""
-    c = cells(spark, d)
-    return c.join(P.complete_units(c, "unit", "category", "t", CATEGORIES, len(PERIODS)), "unit", "left_semi")
+    """Cells of the complete units, in one scan: cells are unique, so a unit's cells are counted over it."""
+    return P.complete_rows(cells(spark, d), CATEGORIES, len(PERIODS))
 
 
 def points_p(spark: SparkSession, d: str) -> DataFrame:
