@@ -67,16 +67,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps; every step is a grouped minimum
     (combined before the shuffle, so a node with very many links is no hot key)
-    and a join that AQE may split. Rounds are stashed; the loop ends when a round
-    changes nothing. Nodes without edges are not listed.
+    and a join that AQE may split. Rounds are stashed; the loop ends when all
+    edges are stars about their least node. Nodes without edges are not listed.
     """
     e = stash(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark or not now[0]:
+        # done when every edge hangs a node on a root: no node hangs on two, no root hangs on another
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("root")).union(e.select("v", F.lit(0), F.lit(1)))
+        node = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("root").alias("root"))
+        if not node.agg(F.max(F.when((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("root") > 0)), 1).otherwise(0))).first()[0]:
             break
-        mark = tuple(now)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
