@@ -57,13 +57,18 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            free_memory()
 
     return wrapped
 
 
+def free_memory() -> None:
+    """Give memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
     return rows.column(rows.schema.get_field_index(name))
 
@@ -220,4 +225,5 @@ def bloom_of(df: DataFrame, key: str, bits: int = 1 << 24) -> Bloom:
     whole = np.zeros(bits >> 3, np.uint8)
     for row in parts.select("r", "blob").collect():
         whole[row.r * step:(row.r + 1) * step] = np.frombuffer(row.blob, np.uint8)
+    free_memory()
     return Bloom(bits, words=whole)

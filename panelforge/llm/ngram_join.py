@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import U64, bloom_of, column, components, mix, release, run_hash, seg_index, settle, stash, text_slices, tidy, words_of
+from .kit import U64, bloom_of, column, components, free_memory, mix, release, run_hash, seg_index, settle, stash, text_slices, tidy, words_of
 
 #: Hash orders whose least token makes stars.
 STARS = 6
@@ -364,7 +364,9 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # 3. prefix tokens held by more than one class, then by more than one component
     order = share(Order(1, levels))
     held = _index(docs, n, order, num, den).groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    sieve = share(bloom_of(held, "token", 1 << 26))
+    held = stash(held)
+    # 16 bits a token, 16 MB at most; more tokens than that only let more rows through
+    sieve = share(bloom_of(held, "token", 1 << min(27, max(20, (held.count() * 16).bit_length()))))
     index = _index(docs, n, order, num, den, sieve).distinct()
     index = index.join(first.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     index = stash(index)
@@ -386,7 +388,8 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "comp").select(F.col("cls").alias("c1"), "c2", "component_id")
     out = rows.select("doc_id", "m", "c1", "c2").join(ids, ["c1", "c2"], "left").select("doc_id", F.col("m").alias("n_shingles"), F.when(F.col("m") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    release(members, index, live, first, links, more, *used, *used2)
+    free_memory()
+    release(members, held, index, live, first, links, more, *used, *used2)
     return settle(out, scan, classes, whole)
 
 
