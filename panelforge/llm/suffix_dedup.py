@@ -1,15 +1,17 @@
-"""Repeated passages by sparse suffix arrays.
-
-Only suffixes that begin at a content-selected place are kept: the minimisers of
-windows of word k-grams, which any two copies of a passage share. With windows of W
-k-grams of K words, a passage of L >= 50 words holds a selected place in its first W
-words, and at least KEY words follow it there. The suffixes are sorted by what
-follows (a hash of KEY words, then further words), neighbours in the sort are
-compared, and a match is extended left and right word by word. Matches of at least
-``min_words`` words between different documents count; touching spans are joined.
-
-The first scan counts the keys only (combined before the shuffle); places whose key
-one document alone has go no further, so what is sorted follows the repeated text.
+"""Repeated passages by sparse suffixes.
+
+Every window of ``min_words`` words hangs on one place: the first least word k-gram
+(K words) among its first W. That depends on the window's own words only, so copies of
+a window hang on copies of the place, whatever stands around them. Windows on one
+place follow one another and form a region, one row.
+
+The first scan counts the places' keys (a hash of KEY words from there on, all inside
+the window; combined before the shuffle); places whose key one document alone has
+go no further, so what is shuffled follows the repeated text. The others' regions
+are grouped by their words: a region that two documents have is a match as a whole.
+The windows of each distinct region are grouped next, and settle which windows of the
+regions of one document are elsewhere too. Both are plain groups by hash, so every
+window meets every other copy. Touching spans are joined.
 """
 
 from __future__ import annotations
@@ -21,150 +23,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import _BASE, U64, bloom_of, column, mix, release, settle, stash, text_slices, tidy, words_of
+from .kit import _BASE, U64, bloom_of, column, mix, settle, stash, text_slices, tidy, words_of
 
-K, W, KEY, SIDE = 8, 16, 32, 18
+K, W, KEY = 8, 16, 32
 _NO_ID = -(1 << 63)
 
 
 def doubling_hash(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words, k a power of two, in log2(k) passes."""
+    """Hash of each run of k words, in about 2 log2(k) passes."""
+    m = max(0, len(words) - k + 1)
+    out, done = np.zeros(m, np.uint64), 0
     h, base, size = words, _BASE, 1
-    while size < k:
-        h = h[:-size] * U64(base) + h[size:] if len(h) > size else h[:0]
+    while m:
+        if k & size:
+            out = out * U64(base) + h[done:done + m]
+            done += size
+        if done == k:
+            break
+        h = h[:-size] * U64(base) + h[size:]
         base = base * base % (1 << 64)
         size *= 2
-    return mix(h)
+    return mix(out)
 
 
-def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick over x[i : i + width] for each i, width a power of two; shorter at the end."""
-    out, size = x.copy(), 1
+def _first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value of x[i : i + width] for each whole i, width a power of two."""
+    at, size = np.arange(len(x)), 1
     while size < width:
-        out[:-size] = pick(out[:-size], out[size:])
+        less = x[size:] < x[:-size]
+        x, at = np.where(less, x[size:], x[:-size]), np.where(less, at[size:], at[:-size])
         size *= 2
-    return out
+    return at
 
 
-def selected_places(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places (word numbers) of the minimisers of all windows that lie within one text."""
+def _regions(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Regions of the texts: (text, first word within it, windows, key, hash of all their windows of ``size`` words end to end)."""
+    words, first, _ = words_of(data, offs)
     n = len(words)
-    grams = doubling_hash(words, K)
-    m = len(grams)
-    if not m:
-        return np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    top = U64(0xFFFFFFFFFFFFFFFF)
-    # a run of one repeated k-gram counts with its first place only
-    inside = text[:m] == text[K - 1:]
-    h = np.where(inside, grams, top)
-    span = W + K - 1
-    if n < span:
-        return np.zeros(0, np.int64)
-    starts = n - span + 1
-    least = _slide(h, W, np.minimum)[:starts]
-    least = np.where(text[:starts] == text[span - 1:], least, U64(0))
-    # p is chosen if some window that holds it has its hash as least: the largest least over windows from p - W + 1 to p
-    wide = np.concatenate((np.zeros(W - 1, np.uint64), least, np.zeros(max(0, m - starts), np.uint64)))
-    reach = _slide(wide, W, np.maximum)[:m]
-    chosen = (reach == h) & inside
-    chosen[1:] &= ~((grams[1:] == grams[:-1]) & chosen[:-1])
-    return np.flatnonzero(chosen)
-
-
-def _suffixes(data: np.ndarray, offs: np.ndarray):
-    words, first, _ = words_of(data, offs)
-    place = selected_places(words, first)
-    text = np.searchsorted(first, place, "right") - 1
-    whole = place + KEY <= first[text + 1]
-    place, text = place[whole], text[whole]
-    return words, first, place, text, doubling_hash(words, KEY)[place] if len(place) else np.zeros(0, np.uint64)
-
-
-def _context(words: np.ndarray, first: np.ndarray, place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """SIDE words before each place (nearest first) and after its key, 16 bits each; 0 beyond the text."""
-    short = ((words >> U64(48)).astype(np.uint16) | np.uint16(1)) if len(words) else np.zeros(0, np.uint16)
-    step = np.arange(SIDE)
-    left = place[:, None] - 1 - step
-    right = place[:, None] + KEY + step
-    a = np.where(left >= first[text][:, None], short[np.clip(left, 0, None)], 0)
-    b = np.where(right < first[text + 1][:, None], short[np.clip(right, None, len(short) - 1)], 0)
-    return a.astype(">u2"), b.astype(">u2")
-
-
-_SORTED = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("place", pa.int64())])
-_FORM = "key bigint, right binary, left binary, doc bigint, place bigint"
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of rows of two arrays; a 0 never matches."""
-    return np.cumprod((a == b) & (a != 0), axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
-
-
-def _compare(t: pa.Table, min_words: int) -> tuple[np.ndarray, ...]:
-    """Rows that match the nearest row of another document above or below: (row, start, end, partner)."""
-    n = len(t)
-    key, doc, place = (t.column(c).to_numpy() for c in ("key", "doc", "place"))
-    side = lambda c: np.frombuffer(b"".join(x.as_py() for x in t.column(c)), ">u2").reshape(n, SIDE)
-    left, right = side("left"), side("right")
-    run = np.concatenate(([0], np.cumsum((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-    edges = np.searchsorted(run, np.arange(run[-1] + 2))
-    above, below = edges[run] - 1, edges[run + 1]
-    best = np.zeros((n, 4), np.int64)
-    for other in (above, below):
-        ok = np.flatnonzero((other >= 0) & (other < n))
-        ok = ok[key[ok] == key[other[ok]]]
-        o = other[ok]
-        lo, hi = _common(left[ok], left[o]), _common(right[ok], right[o])
-        size = lo + hi + KEY
-        better = (size >= min_words) & (size > best[ok, 0])
-        r = ok[better]
-        best[r] = np.stack((size[better], place[r] - lo[better], place[r] + KEY + hi[better], doc[o[better]]), axis=1)
-    rows = np.flatnonzero(best[:, 0])
-    return rows, best[rows, 1], best[rows, 2], best[rows, 3]
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch], min_words: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Compare sorted rows as they stream by; with ``edges``, also hand on the partition's first and last rows."""
-    form = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("partner", pa.int64()), *((f.name + "_", f.type) for f in _SORTED)])
-
-    def out(doc, start, stop, partner):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop), pa.array(partner), *(pa.nulls(len(doc), f.type) for f in _SORTED)], schema=form)
-
-    def edge(rows: pa.Table) -> pa.RecordBatch:
-        cols = [pa.nulls(len(rows), pa.int64())] * 4 + [rows.column(f.name).combine_chunks() for f in _SORTED]
-        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=form)
-
-    held, began = None, False
-    for b in batches:
-        if not len(b):
-            continue
-        t = pa.Table.from_batches([b]).select(_SORTED.names)
-        if edges and not began:
-            yield edge(t.slice(0, 1))
-            began = True
-        t = pa.concat_tables([held, t.cast(_SORTED)]) if held is not None else t.cast(_SORTED)
-        rows, start, stop, partner = _compare(t, min_words)
-        doc = t.column("doc").to_numpy()
-        if len(rows):
-            yield out(doc[rows], start, stop, partner)
-        # the last run of one document and the row before it meet the next batch
-        key = t.column("key").to_numpy()
-        same = np.flatnonzero((doc != doc[-1]) | (key != key[-1]))
-        held = t.slice(max(int(same[-1]) if len(same) else 0, len(t) - 4096))
-    if edges and held is not None:
-        yield edge(held.slice(len(held) - 1, 1))
+    start = np.flatnonzero(text[:max(0, n - size + 1)] == text[size - 1:])
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    place = _first_least(doubling_hash(words, K), W)[start]
+    head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    count = np.diff(np.append(head, len(start)))
+    begin = start[head]
+    return text[begin], begin - first[text[begin]], count, doubling_hash(words, KEY)[place[head]], doubling_hash(words, size)[start]
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """Passages of at least ``min_words`` words that another document has too (A-Z lower-cased).
 
     Columns doc_id, start_word, end_word (end exclusive), n_words and partner_id (a document that has
-    it, the least of those compared), one row for each maximal span; documents
+    a part of at least ``min_words`` words of it), one row for each maximal span; documents
     without a repeat have no row. Rows with one id are one document (a repeat inside
     a document alone doesn't count); rows with a null id are one document with a
     null id. Null and short texts have no passages. Other columns are ignored; an
-    empty table gives an empty result. ``min_words`` is at least KEY + W.
+    empty table gives an empty result. ``min_words`` is at least KEY + W - 1.
     """
     if min_words < KEY + W - 1:
         raise ValueError(f"min_words must be at least {KEY + W - 1}")
@@ -174,39 +90,50 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, data, offs in text_slices(b, "text"):
-                _, _, _, text, key = _suffixes(data, offs)
+                text, _, _, key, _ = _regions(data, offs, min_words)
                 ids = column(rows, "doc_id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[text])], ["key", "doc"])
 
-    shared = docs.mapInArrow(tidy(keys), "key bigint, doc bigint").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
-    sieve = spark.sparkContext.broadcast(bloom_of(shared, "key", 1 << 26))
+    repeated = docs.mapInArrow(tidy(keys), "key bigint, doc bigint").groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    sieve = spark.sparkContext.broadcast(bloom_of(repeated, "key", 1 << 26))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, data, offs in text_slices(b, "text"):
-                words, first, place, text, key = _suffixes(data, offs)
-                k = sieve.value.hit(key)
-                place, text, key = place[k], text[k], key[k]
-                if not len(key):
+                text, start, count, key, windows = _regions(data, offs, min_words)
+                hit = sieve.value.hit(key)
+                if not hit.any():
                     continue
-                left, right = _context(words, first, place, text)
+                windows = windows[np.repeat(hit, count)]
+                text, start, count = text[hit], start[hit], count[hit]
+                ends = np.concatenate(([0], np.cumsum(count)))
+                # the first and the last window hold all words of the region
+                region = mix(windows[ends[:-1]] * U64(_BASE) + windows[ends[1:] - 1] + count.astype(np.uint64))
                 ids = column(rows, "doc_id").to_numpy()
-                blob = lambda x: pa.array(list(map(bytes, x)), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), blob(right), blob(left), pa.array(ids[text]), pa.array(place - first[text])], schema=_SORTED)
-
-    order = ["key", "right", "left", "doc", "place"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    # the whole order deals out one much-repeated passage over several partitions
-    array = docs.mapInArrow(tidy(rows_of), _FORM).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    form = "doc bigint, start bigint, stop bigint, partner bigint, key_ bigint, right_ binary, left_ binary, doc_ bigint, place_ bigint"
-    found = stash(array.mapInArrow(lambda bs: _neighbours(bs, min_words, True), form))
-    # first and last rows of the partitions, two for each: the neighbours across their bounds
-    seams = found.where("doc is null").select(*(F.col(c + "_").alias(c) for c in order)).coalesce(1).sortWithinPartitions(*order)
-    met = seams.mapInArrow(lambda bs: _neighbours(bs, min_words, False), form)
-    spans = found.where("doc is not null").union(met).select("doc", "start", "stop", "partner")
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(windows.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(ids[text]), pa.array(start), lists], ["region", "doc", "start", "windows"])
+
+    rows = stash(docs.mapInArrow(tidy(rows_of), "region bigint, doc bigint, start bigint, windows array<bigint>"))
+    regions = stash(rows.groupBy("region").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("windows").alias("windows")))
+    # windows of a region that one document alone has may be in other regions
+    each = regions.select("region", "lo", "hi", F.posexplode("windows").alias("k", "window"))
+    shared = each.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.expr("lo = hi")).alias("open"))
+    shared = stash(shared.where("lo <> hi and open").drop("open"))
+    found = spark.sparkContext.broadcast(bloom_of(shared, "window", 1 << 26))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(found.value.hit(column(b, "window").to_numpy().view(np.uint64))))
+
+    lone = each.where("lo = hi").select("region", F.col("lo").alias("doc"), "k", "window").mapInArrow(tidy(passed), "region bigint, doc bigint, k int, window bigint")
+    part = lone.join(shared, "window").groupBy("region").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.min(F.expr("if(lo <> doc, lo, hi)")).alias("lo")).withColumn("hi", F.col("lo"))
+    whole = regions.where("lo <> hi").select("region", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"), "lo", "hi")
+    spans = rows.select("region", "doc", "start").join(whole.unionByName(part), "region")
+    # windows of one region overlap: their first and last bound one span
+    spans = spans.selectExpr("doc", "start + low as start", f"start + high + {min_words} as stop", "if(lo <> doc, lo, hi) as partner")
 
     spans = spans.selectExpr("*", "max(stop) over (partition by doc order by start, stop rows between unbounded preceding and 1 preceding) as before")
     spans = spans.selectExpr("*", "sum(cast(before is null or start > before as int)) over (partition by doc order by start, stop rows unbounded preceding) as span")
     out = spans.groupBy("doc", "span").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("partner").alias("partner_id"))
     out = out.select(F.expr("case when doc = -9223372036854775808 then null else doc end").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.expr("case when partner_id = -9223372036854775808 then null else partner_id end").alias("partner_id"))
-    return settle(out, found)
+    return settle(out, rows, regions, shared)

@@ -149,6 +149,27 @@ def test_passages_equal_brute_force(spark, parts):
     assert got == covered(texts)
 
 
+def found(table):
+    got = defaultdict(set)
+    for r in repeated_passages(table).collect():
+        assert r.n_words == r.end_word - r.start_word >= 50 and r.partner_id != r.doc_id
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    return got
+
+
+@pytest.mark.parametrize("lead, tail", [(2, 49), (6, 48), (10, 45), (12, 40)])
+def test_passages_with_a_common_tail_equal_brute_force(spark, lead, tail):
+    rng = random.Random(lead)
+    notice = prose(rng, tail, 5000)
+    sites = [prose(rng, lead, 5000) for _ in range(40)]
+    texts = {i: f"{prose(rng, 60, 5000)} {sites[i % 40]} {notice} {prose(rng, 60, 5000)}" for i in range(200)}
+    want = covered(texts)
+    assert len(want) == (200 if lead + tail >= 50 else 0) and found(docs(spark, texts)) == want
+    # the same with site-specific ends
+    texts = {i: f"{prose(rng, 60, 5000)} {notice} {sites[i % 40]} {prose(rng, 60, 5000)}" for i in range(200)}
+    assert found(docs(spark, texts)) == covered(texts)
+
+
 def test_passages_on_awkward_rows(spark):
     ids = {r.doc_id for r in repeated_passages(awkward(spark)).collect()}
     assert ids == {1, 2, 3, 9, 10, None}
