@@ -170,6 +170,21 @@ def test_passages_with_a_common_tail_equal_brute_force(spark, lead, tail):
     assert found(docs(spark, texts)) == covered(texts)
 
 
+def test_passages_that_one_document_repeats_beyond_a_batch(spark):
+    rng = random.Random(3)
+    passage = prose(rng, 60, 5000)
+    texts = {i: f"{prose(rng, 60, 5000)} {passage} {prose(rng, 60, 5000)}" for i in (1, 9)}
+    # one document holds it 12,000 times (a batch has 10,000 rows), each time with other words around
+    table = docs(spark, texts | {5: " ".join(f"{passage} x{i}" for i in range(12_000))})
+    want = {p for i in range(12_000) for p in range(61 * i, 61 * i + 60)}
+    got = found(table)
+    assert got[5] == want and got[1] == got[9] == set(range(60, 120))
+    # rows with a null id are one document: only their common words with others count
+    lone = [(None, f"{passage} y{i}") for i in range(300)]
+    assert not found(spark.createDataFrame(lone, "doc_id bigint, text string"))
+    assert found(spark.createDataFrame([*lone, (1, texts[1])], "doc_id bigint, text string")) == {None: set(range(60)), 1: set(range(60, 120))}
+
+
 def test_passages_on_awkward_rows(spark):
     ids = {r.doc_id for r in repeated_passages(awkward(spark)).collect()}
     assert ids == {1, 2, 3, 9, 10, None}
