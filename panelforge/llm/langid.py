@@ -1,8 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
 Each language has a Bloom filter of the byte n-grams of its training text. The filters
-are bit-sliced: one array of words in which bit l of a word belongs to language
-l, so that k look-ups and an AND give the set of all languages that contain an
+are bit-sliced: an array of words in which bit l of a word belongs to language
+l (and one more array for each further 64 languages), so that k look-ups and an AND give the set of all languages that contain an
 n-gram. Set bits are counted for each language over a text, the count is corrected
 for the filter's rate of false positives, and the largest corrected count decides.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .kit import _BASE, _LOWER_TABLE, U64, column, mix, text_slices, tidy
 
-#: Fit bounds: training documents of a language, characters of each, and languages of one filter word.
+#: Fit bounds: training documents of a language, characters of each. Languages of one filter word.
 DOCS, CHARS, LANGUAGES = 1500, 3000, 64
 N = 6
 HASHES = 3
@@ -47,23 +47,33 @@ def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 class Filters:
-    """Bit-sliced Bloom filters of up to 64 languages."""
+    """Bit-sliced Bloom filters; beyond 64 languages, ``words`` and masks have a second axis, a column for each 64."""
 
     def __init__(self, languages: list[str], bits: int = BITS):
         self.languages, self.bits = languages, bits
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= max(1, len(languages)))
-        self.words = np.zeros(1 << bits, kind)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= min(LANGUAGES, max(1, len(languages))))
+        self.words = np.zeros(1 << bits if len(languages) <= LANGUAGES else (1 << bits, -(-len(languages) // LANGUAGES)), kind)
         self.rates = np.zeros(len(languages))
 
     def add(self, language: int, h: np.ndarray) -> None:
-        bit = self.words.dtype.type(1 << language)
+        bit = self.words.dtype.type(1 << language % LANGUAGES)
+        words = self._of(self.words, language)
         for p in _places(h, self.bits):
-            self.words[p] |= bit
+            words[p] |= bit
+
+    @staticmethod
+    def _of(masks: np.ndarray, language: int) -> np.ndarray:
+        """The words that hold a language's bit."""
+        return masks if masks.ndim == 1 else masks[:, language // LANGUAGES]
+
+    def _bits(self, masks: np.ndarray, language: int) -> np.ndarray:
+        kind = masks.dtype.type
+        return (self._of(masks, language) >> kind(language % LANGUAGES)) & kind(1)
 
     def close(self) -> None:
         """False positive rate of each language from its share of set bits."""
         for k in range(len(self.languages)):
-            self.rates[k] = float(((self.words >> self.words.dtype.type(k)) & self.words.dtype.type(1)).mean()) ** HASHES
+            self.rates[k] = float(self._bits(self.words, k).mean()) ** HASHES
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         """All languages of each n-gram, one bit each."""
@@ -78,7 +88,7 @@ class Filters:
         out = np.zeros((len(first), len(self.languages)))
         some = total > 0
         for k in range(len(self.languages)):
-            bits = ((masks >> masks.dtype.type(k)) & masks.dtype.type(1)).astype(np.int64)
+            bits = self._bits(masks, k).astype(np.int64)
             sums = np.concatenate(([0], np.cumsum(bits)))
             hits = sums[first[some] + total[some]] - sums[first[some]]
             out[some, k] = np.maximum(0, (hits - self.rates[k] * total[some]) / max(1e-9, 1 - self.rates[k]))
@@ -88,24 +98,26 @@ class Filters:
 def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None) -> Filters:
     """Fit on a bounded sample: DOCS documents of each language by hash of the id, CHARS characters each.
 
-    At most LANGUAGES languages, the most frequent ones, are learned. ``train`` (on
-    the columns doc_id and lang) admits rows. Null texts, langs and ids are left out.
+    Every language is learned; each LANGUAGES of them take a scan, so that the driver
+    holds no more texts at once. ``train`` (on the columns doc_id and lang) admits rows. Null texts, langs and ids are left out.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where("text is not null and lang is not null and doc_id is not null")
     own = own.where(train) if train is not None else own
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Filters([])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(1_000_000 * min(1.0, DOCS / n)))) for k, n in sizes.items()))
-    sample = own.where(h < share).select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text")).collect()
     out = Filters(sorted(sizes))
-    for k, lang in enumerate(out.languages):
-        each = [np.unique(grams(np.frombuffer(r.text.encode(), np.uint8))) for r in sample if r.lang == lang]
-        if each:
-            values, n = np.unique(np.concatenate(each), return_counts=True)
-            out.add(k, values[n >= min(LEAST_DOCS, len(each))])
+    for at in range(0, len(out.languages), LANGUAGES):
+        some = out.languages[at:at + LANGUAGES]
+        share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(1_000_000 * min(1.0, DOCS / sizes[k])))) for k in some))
+        sample = own.where(h < share).select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text")).collect()
+        for k, lang in enumerate(some, at):
+            each = [np.unique(grams(np.frombuffer(r.text.encode(), np.uint8))) for r in sample if r.lang == lang]
+            if each:
+                values, n = np.unique(np.concatenate(each), return_counts=True)
+                out.add(k, values[n >= min(LEAST_DOCS, len(each))])
     out.close()
     return out
 

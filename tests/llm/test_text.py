@@ -243,6 +243,16 @@ def test_language_counts_equal_brute_force(spark):
     assert len(grams(np.frombuffer(b"abc", np.uint8))) == 0 and N == 6
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    words = {f"l{k:03d}": [hashlib.sha256(f"{k} {i}".encode()).hexdigest()[:9] for i in range(30)] for k in range(150)}
+    rows = [(k * 10 + i, " ".join(w), name) for k, (name, w) in enumerate(words.items()) for i in range(2 + k % 3)]
+    f = fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert f.languages == sorted(words) and f.words.shape[1] == 3
+    unseen = [(k, " ".join(w[5:25]), None) for k, w in enumerate(words.values())]
+    got = detect_languages(spark.createDataFrame(unseen, "doc_id bigint, text string, lang string"), f).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == list(words)
+
+
 def test_language_on_awkward_rows(spark):
     table = awkward(spark)
     got = detect_languages(table, fit_languages(table)).collect()
