@@ -289,6 +289,25 @@ def family_balanced_consensus(spark, d):
     return S.balanced_consensus(_co(spark, d), B.FAMILIES)
 
 
+# the same over all units: the whole co-assignment matrix and its consensus
+_CO_ALL = RUNS_CTE + ", co AS MATERIALIZED (SELECT a.family, a.i, b.i AS j, count(*) / 3 AS p FROM runs a JOIN runs b ON a.run = b.run AND a.label = b.label AND a.i < b.i GROUP BY ALL)"
+
+
+def _co_all(spark, d):
+    return S.coassignment(B.runs_e(spark, d), B.points_e(spark, d).select("i"))
+
+
+@query("coassignment_pairs_all", _CO_ALL, "SELECT * FROM co", "p")
+def coassignment_pairs_all(spark, d):
+    """Co-assignment of all pairs of units, within and across profiles."""
+    return _co_all(spark, d)
+
+
+@query("family_balanced_consensus_all", _CO_ALL, "SELECT i, j, sum(p) / 4 AS p FROM co GROUP BY i, j", "p")
+def family_balanced_consensus_all(spark, d):
+    return S.balanced_consensus(_co_all(spark, d), B.FAMILIES)
+
+
 # affinity straight from the definition: mean co-assignment with the other members of a class
 _AFF = RUNS_CTE + """, fa AS MATERIALIZED (SELECT a.family, a.i, b.cls, sum((a.label = b.label)::INT) / count(*) AS affinity FROM runs a JOIN (SELECT runs.*, e.label AS cls FROM runs JOIN e USING (i)) b ON a.run = b.run AND a.i <> b.i GROUP BY ALL),
  af AS MATERIALIZED (SELECT i, cls, avg(affinity) AS affinity FROM fa GROUP BY ALL), sh AS MATERIALIZED (SELECT *, affinity / sum(affinity) OVER (PARTITION BY i) AS share, row_number() OVER (PARTITION BY i ORDER BY affinity DESC, cls) AS place FROM af),

@@ -51,3 +51,27 @@ def test_query(spark, db, name):
 
 def test_keys_of_oracles_are_queries():
     assert set(ORACLES) <= set(catalog.queries())
+
+
+def test_consensus_covers_all_pairs_of_units(spark):
+    from panelforge.plans import bindings
+
+    runs = {}
+    for r in bindings.runs_e(spark, SF).collect():
+        runs.setdefault((r.family, r.run), {})[r.i] = r.label
+    met = {}
+    for (family, _), label in runs.items():
+        ids = sorted(label)
+        for k, i in enumerate(ids):
+            for j in ids[k + 1:]:
+                if label[i] == label[j]:
+                    met[family, i, j] = met.get((family, i, j), 0) + 1
+    each = sum(family == 0 for family, _ in runs)
+    both = {}
+    for (_, i, j), n in met.items():
+        both[i, j] = both.get((i, j), 0) + n / each / 4
+    found = catalog.queries()
+    got = {(r.family, r.i, r.j): r.p for r in found["coassignment_pairs_all"](spark, SF).collect()}
+    assert got.keys() == met.keys() and all(close(got[k], n / each) for k, n in met.items())
+    got = {(r.i, r.j): r.p for r in found["family_balanced_consensus_all"](spark, SF).collect()}
+    assert got.keys() == both.keys() and all(close(got[k], p) for k, p in both.items())
