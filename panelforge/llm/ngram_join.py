@@ -241,13 +241,15 @@ def _index(docs: DataFrame, n: int, order, num: int, den: int, only=None) -> Dat
 
 
 def _fetch(docs: DataFrame, n: int, wanted, payload: Callable) -> DataFrame:
-    """(cls, blob) of the documents whose doc_id passes the Bloom filter, one row for each class."""
+    """(cls, blob) of the documents whose doc_id passes the Bloom filter or is null, one row for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = wanted.value
         for b in batches:
-            ids = column(b, "doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            b = b.take(pa.array(np.flatnonzero(sieve.hit(ids.view(np.uint64)))))
+            ids = column(b, "doc_id")
+            # a class of null ids only has no representative in the filter
+            hit = sieve.hit(ids.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)) | ids.is_null().to_numpy(zero_copy_only=False)
+            b = b.take(pa.array(np.flatnonzero(hit)))
             seen: set[int] = set()
             for _, data, offs in text_slices(b, "text"):
                 tokens, sizes = shingle_sets(data, offs, n)

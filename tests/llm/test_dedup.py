@@ -82,6 +82,18 @@ def test_join_on_awkward_rows(spark):
     assert ngram_jaccard_join(empty(spark)).count() == 0
 
 
+def test_join_links_through_near_copies_with_a_null_id(spark):
+    w = prose(random.Random(11), 100, 5000).split()
+
+    def edited(*places):
+        return " ".join("other" if i in places else x for i, x in enumerate(w))
+
+    rows = [(1, edited()), (None, edited(20, 50)), (2, edited(20, 50, 70, 90)), (3, prose(random.Random(12), 100, 5000))]
+    want = brute_components(rows)
+    assert want[2, 96, 1] == 1
+    assert Counter(map(tuple, ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())) == want
+
+
 def test_prefix_length_never_loses_a_partner():
     for m in range(1, 200):
         assert prefix_len(m, 4, 5) == m - -(-8 * m // 10) + 1 >= 1
