@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, set here only if unset."""
+    """Folder all executors share: spark.checkpoint.dir, set here only if unset and all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,8 +69,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: (node, comp), comp the least node.
 
     Alternating large-star and small-star steps; every step is a grouped minimum
-    (combined before the shuffle, so a node with very many links is no hot key)
-    and a join that AQE may split. Rounds are stashed; the loop ends when all
+    (combined before the shuffle) and a join of edges with their nodes' minima. The
+    minima are written first: AQE splits a hot key only where both sides of a join are
+    bare shuffles, not aggregates. Rounds are stashed; the loop ends when all
     edges are stars about their least node. Nodes without edges are not listed.
     """
     e = stash(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -78,13 +82,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not node.agg(F.max(F.when((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("root") > 0)), 1).otherwise(0))).first()[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stash(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        lowest = stash(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         step = stash(small)
-        release(e)
+        release(e, least, large, lowest)
         e = step
     star = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()

@@ -326,3 +326,26 @@ def test_fisher_and_tails(spark):
     assert inference.fisher_exact(1, 9, 11, 3) == pytest.approx(0.002759456, abs=1e-8)
     t = inference.tails(spark)
     assert t.chi2(3.841458820694124, 1) == pytest.approx(0.05) and t.normal(1.959963984540054) == pytest.approx(0.05)
+
+
+def test_components_split_a_hub(spark):
+    """A node with most of the links: its rows are dealt to several tasks in the join with the minima."""
+    from panelforge import durable
+
+    tight = {
+        "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in tight}
+    try:
+        for k, v in tight.items():
+            spark.conf.set(k, v)
+        rows = spark.range(60_000).selectExpr("id + 1 as a", "if(id % 3 = 0, 0, id div 2) as b").repartition(8)
+        edges = durable.stash(rows.selectExpr("b as u", "a as v"))
+        joined = edges.join(durable.stash(edges.groupBy("u").agg(F.min("v").alias("m"))), "u")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert durable.components(rows).agg(F.count("*"), F.max("comp")).first() == (60_001, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
