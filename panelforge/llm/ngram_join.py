@@ -17,8 +17,9 @@ Plan:
    share comes last. Prefix tokens held by classes of more than one component
    give pairs; inside a component nothing is left to find out, so a large group of
    near copies makes no pairs among itself.
-4. Pairs must share a prefix token under orders 2 and 3 as well, looked up only
-   for the documents that are in a pair; then whole sets are intersected.
+4. Pairs must share a prefix token under orders 2 (coarse frequency levels) and 3 (a hash
+   alone) as well, looked up only for the documents that are in a pair; then whole sets
+   are intersected.
 5. Components of all links.
 
 No step caps a bucket or a partner list; links between different texts are found
@@ -40,8 +41,6 @@ from .kit import U64, bloom_of, column, components, free_memory, mix, release, r
 
 #: Hash orders whose least token makes stars.
 STARS = 6
-#: Orders of the prefix filters: the first makes pairs, the others must agree.
-ORDERS = 3
 _RANGES = 64
 #: Frequency level of a token three deviations over the mean; what edits make is below it.
 _COMMON = 28
@@ -86,10 +85,13 @@ def prefix_len(m: int, num: int, den: int) -> int:
 
 
 class Order:
-    """A global token order: frequency level first (rare tokens first), then a hash."""
+    """A global token order: frequency level first (rare tokens first; ``coarse``: eight levels are one), then a hash.
 
-    def __init__(self, k: int, levels: np.ndarray | None):
-        self.seed, self.levels = _seed(100 + k), levels
+    Without levels, by hash alone.
+    """
+
+    def __init__(self, k: int, levels: np.ndarray | None, coarse: bool = False):
+        self.seed, self.levels = _seed(100 + k), levels >> 3 if coarse and levels is not None else levels
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         h = mix(tokens ^ self.seed)
@@ -267,7 +269,7 @@ def _bytes_of(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 
 
 def _judge(pairs: DataFrame, blobs: DataFrame, test: Callable) -> DataFrame:
-    """The pairs (a, b) whose blobs pass ``test``; b's side is the hub of stars and joined last."""
+    """The pairs (a, b) whose blobs (a stashed table) pass ``test``; b's side is the hub of stars and joined last."""
     half = pairs.join(blobs.select(F.col("cls").alias("a"), F.col("blob").alias("x")), "a")
     both = half.join(blobs.select(F.col("cls").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -350,14 +352,16 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # 2. stars: one centre for each least token, the class with the fewest rare tokens (an original
     # has none of the tokens that edits made), then with most copies
     every = classes.select("cls", "m", "copies", F.posexplode(F.array(*stars)).alias("k", "least"))
-    held = every.groupBy("k", "least").agg(F.count("*").alias("size")).where("size > 1").select("k", "least")
-    members = stash(every.join(held, ["k", "least"]))
+    # aggregates are written before a join on their key: AQE splits a hot key only between bare shuffles
+    shared = stash(every.groupBy("k", "least").agg(F.count("*").alias("size")).where("size > 1").select("k", "least"))
+    members = stash(every.join(shared, ["k", "least"]))
+    release(shared)
     wanted = share(bloom_of(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "rep"))
     rare = _fetch(docs, n, wanted, _rare_counts(share(Order(0, levels)))).select("cls", F.conv(F.hex("blob"), 16, 10).cast("bigint").alias("rare"))
     marked = stash(members.join(rare, "cls", "left"))
     release(members)
     members = marked
-    centre = members.groupBy("k", "least").agg(F.min(F.struct("rare", F.negative("copies").alias("fewer"), "cls", "m")).alias("c")).select("k", "least", F.col("c.cls").alias("b"), F.col("c.m").alias("mb"))
+    centre = stash(members.groupBy("k", "least").agg(F.min(F.struct("rare", F.negative("copies").alias("fewer"), "cls", "m")).alias("c")).select("k", "least", F.col("c.cls").alias("b"), F.col("c.m").alias("mb")))
     close = f"least(m, mb) * {den} >= greatest(m, mb) * {num}"
     pairs = members.join(centre, ["k", "least"]).where(f"cls <> b and {close}").select(F.col("cls").alias("a"), "b").distinct()
     links, used = _confirm(docs, classes, stash(pairs), n, num, den, levels)
@@ -375,6 +379,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # each token's major component: pairs need a member outside it
     by_comp = index.groupBy("token", "comp").agg(F.count("*").alias("size"))
     major = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("top")).where("comps > 1").select("token", F.col("top.comp").alias("major"))
+    major = stash(major)
     live = stash(index.join(major, "token"))
     minor = live.where("comp <> major").select("token", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("pos").alias("pa"), F.col("m").alias("ma"))
     other = live.select("token", F.col("cls").alias("b"), F.col("comp").alias("cb"), "major", F.col("pos").alias("pb"), F.col("m").alias("mb"))
@@ -387,18 +392,19 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # 5. components of all links, by least doc_id
     whole = components(links.union(more))
     named = classes.select("cls", "c2", "rep").join(whole.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least = stash(named.groupBy("comp").agg(F.min("rep").alias("component_id")))
     ids = named.join(least, "comp").select(F.col("cls").alias("c1"), "c2", "component_id")
     out = rows.select("doc_id", "m", "c1", "c2").join(ids, ["c1", "c2"], "left").select("doc_id", F.col("m").alias("n_shingles"), F.when(F.col("m") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     free_memory()
-    release(members, held, index, live, first, links, more, *used, *used2)
-    return settle(out, scan, classes, whole)
+    release(members, centre, held, index, major, live, first, links, more, *used, *used2)
+    return settle(out, scan, classes, whole, least)
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of classes that share prefix tokens in all further orders and whose sets are similar."""
     share = docs.sparkSession.sparkContext.broadcast
-    orders = share([Order(k, levels) for k in range(2, ORDERS + 1)])
+    # one order by coarse levels, one by the hash alone: what is rare in one is not first in the other
+    orders = share([Order(2, levels, coarse=True), Order(3, None)])
 
     def filters(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         each = [prefixes(tokens, sizes, o, num, den) for o in orders.value]
@@ -410,7 +416,10 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num:
         nodes = p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls"))).distinct()
         return share(bloom_of(nodes.join(classes.select("cls", "rep"), "cls"), "rep"))
 
-    passed = stash(_judge(pairs, _fetch(docs, n, wanted(pairs), filters), _filter_test))
-    release(pairs)
-    links = stash(_judge(passed, _fetch(docs, n, wanted(passed), _bytes_of), _verify_test(num, den)).distinct())
+    blobs = stash(_fetch(docs, n, wanted(pairs), filters))
+    passed = stash(_judge(pairs, blobs, _filter_test))
+    release(pairs, blobs)
+    blobs = stash(_fetch(docs, n, wanted(passed), _bytes_of))
+    links = stash(_judge(passed, blobs, _verify_test(num, den)).distinct())
+    release(blobs)
     return links, [passed]
