@@ -231,13 +231,16 @@ def test_language_counts_equal_brute_force(spark):
     table = spark.createDataFrame([(i, t, "en" if i == 0 else "de" if i == 1 else None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
     f = fit_languages(table)
     got = {r.doc_id: r for r in detect_languages(table, f).collect()}
+    held = [{t[i:i + n] for t in [f" {texts[k]} "] for n in range(1, N + 1) for i in range(len(t) - n + 1)} for k in (1, 0)]
     for i, t in enumerate(texts):
-        h = grams(np.frombuffer(t.encode(), np.uint8))
-        masks = f.masks(h) if len(h) else []
-        counts = [max(0.0, (sum(int(m) >> k & 1 for m in masks) - f.rates[k] * len(h)) / (1 - f.rates[k])) for k in range(2)]
         if any(c.isalpha() for c in t):
+            counts = [0, 0]
+            for own, n in ((t, N), *((f" {t} ", n) for n in range(N, 1, -1)), (t, 1)):
+                counts = [sum(own[j:j + n] in g for j in range(len(own) - n + 1)) for g in held]
+                if max(counts):
+                    break
             assert got[i].lang_pred == f.languages[int(np.argmax(counts))]
-            assert got[i].score == pytest.approx(max(counts) / sum(counts) if sum(counts) else 0.0)
+            assert got[i].score == pytest.approx(max(counts) / sum(counts) if sum(counts) else 0.0, abs=1e-3)
         else:
             assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
     assert len(grams(np.frombuffer(b"abc", np.uint8))) == 0 and N == 6
@@ -247,12 +250,20 @@ def test_more_languages_than_bits_of_a_word(spark):
     words = {f"l{k:03d}": [hashlib.sha256(f"{k} {i}".encode()).hexdigest()[:9] for i in range(30)] for k in range(150)}
     rows = [(k * 10 + i, " ".join(w), name) for k, (name, w) in enumerate(words.items()) for i in range(2 + k % 3)]
     f = fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    assert f.languages == sorted(words) and f.words.shape[1] == 3
+    assert f.languages == sorted(words) and f.main.words.shape[1] == 3
     unseen = [(k, " ".join(w[5:25]), None) for k, w in enumerate(words.values())]
     got = detect_languages(spark.createDataFrame(unseen, "doc_id bigint, text string, lang string"), f).collect()
     assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == list(words)
 
 
+def test_short_texts_have_a_language(spark):
+    f = fit_languages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = {0: "the", 1: "und", 2: "привет", 3: "que", 4: "der die", 5: "les"}
+    got = {r.doc_id: r for r in detect_languages(docs(spark, texts), f).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 4)] == ["en", "de", "de"] and all(got[i].score > 0 for i in (0, 1, 3, 4, 5))
+    assert (got[2].lang_pred, got[2].score) == (f.languages[f.usual], 0.0)
+
+
 def test_language_on_awkward_rows(spark):
     table = awkward(spark)
     got = detect_languages(table, fit_languages(table)).collect()
