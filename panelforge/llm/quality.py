@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .kit import column, text_slices, tidy
 
-#: Fit bounds: labelled documents of each class whose text fills a dictionary,
-#: characters of each, bytes of a dictionary, and labelled documents to calibrate on.
-DICT_DOCS, DICT_CHARS, DICT_BYTES, CALIBRATION_DOCS = 600, 2000, 1 << 19, 6000
+#: Fit bounds: labelled documents of each class whose whole texts are its dictionary, the longest
+#: text drawn for one (bytes; longer ones only calibrate), and labelled documents to calibrate on.
+DICT_DOCS, DICT_LONGEST, CALIBRATION_DOCS = 300, 20_000, 6000
 LEVEL = 3
 
 
@@ -85,28 +85,30 @@ def _compressors(bad: bytes, good: bytes) -> tuple:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train: Column | None = None) -> Model:
     """Fit on a bounded sample of the labelled rows that ``train`` (on id_col) admits.
 
-    The sample is the rows of least hash of the id: 2 x DICT_DOCS for the
-    dictionaries and CALIBRATION_DOCS others to calibrate on. Only that many ids are
-    broadcast, and only dictionary texts (cut at DICT_CHARS) and numbers reach the
-    driver. Labels other than 0 and 1, null ids and null texts are left out; an
-    id labelled both ways counts as bad.
+    The sample is the rows of least hash of the id: for each class DICT_DOCS documents of at
+    most DICT_LONGEST bytes, whole, for the dictionaries, and CALIBRATION_DOCS others of any
+    length to calibrate on. Only that many ids are broadcast, and only dictionary
+    texts (6 MB of a class at most) and numbers reach the driver. Labels other than 0 and 1,
+    null ids and null texts are left out; an id labelled both ways counts as bad; of rows with one id,
+    each text counts once. Without texts of both classes the model is a constant.
     """
     ids = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     ids = ids.where(train) if train is not None else ids
     ids = ids.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    picked = [(r.doc_id, r.y, 1) for y in (0, 1) for r in ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(DICT_DOCS).collect()]
-    few = {y: sum(p[1] == y for p in picked) for y in (0, 1)}
-    if not few[0] or not few[1]:
-        return Model(b"", b"", None, 0.5 if not picked else float(few[1] > 0))
-    # small label sets: half of each class for the dictionaries, half to calibrate
-    half = [p for i, p in enumerate(picked) if few[p[1]] == DICT_DOCS or i % 2 == 0]
-    spent = {p[0] for p in half}
-    rest = [(r.doc_id, r.y, 0) for r in ids.orderBy("h", "doc_id").limit(CALIBRATION_DOCS + 2 * DICT_DOCS).collect() if r.doc_id not in spent]
+    drawn = {y: [(r.doc_id, r.y, r.h) for r in ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(DICT_DOCS * 2 + CALIBRATION_DOCS).collect()] for y in (0, 1)}
+    if not drawn[0] or not drawn[1]:
+        return Model(b"", b"", None, 0.5 if not drawn[0] + drawn[1] else float(bool(drawn[1])))
+    # the dictionary's candidates come first; of small label sets, every other document calibrates
+    first = {y: drawn[y][:DICT_DOCS * 2] if len(drawn[y]) > 4 * DICT_DOCS else drawn[y][::2][:DICT_DOCS * 2] for y in (0, 1)}
+    spent = {r[0] for y in (0, 1) for r in first[y]}
+    rest = sorted((r for y in (0, 1) for r in drawn[y] if r[0] not in spent), key=lambda r: (r[2], r[0]))[:CALIBRATION_DOCS]
     spark = docs.sparkSession
-    sample = F.broadcast(spark.createDataFrame(half + rest, "doc_id bigint, y int, role int"))
+    sample = F.broadcast(spark.createDataFrame([(i, y, 1) for y in (0, 1) for i, _, _ in first[y]] + [(i, y, 0) for i, y, _ in rest], "doc_id bigint, y int, role int"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(sample, "doc_id")
-    found = texts.where("role = 1").select("doc_id", "y", F.substring("text", 1, DICT_CHARS).alias("t")).distinct().collect()
-    blob = {y: "\n".join(r.t for r in sorted((r for r in found if r.y == y), key=lambda r: (r.doc_id, r.t))).encode()[-DICT_BYTES:] for y in (0, 1)}
+    short = texts.where(F.expr("role = 1") & (F.octet_length("text") <= DICT_LONGEST)).select("y", F.xxhash64("doc_id").alias("h"), "doc_id", "text").distinct()
+    own = short.selectExpr("y", "text", "h", "doc_id", "row_number() over (partition by y order by h, doc_id, text) as place").where(F.col("place") <= DICT_DOCS)
+    found = sorted(own.collect(), key=lambda r: r.place)
+    blob = {y: "\n".join(r.text for r in found if r.y == y).encode() for y in (0, 1)}
     if not blob[0] or not blob[1]:
         return Model(b"", b"", None, 0.5)
     shared = spark.sparkContext.broadcast((blob[0], blob[1]))
@@ -119,15 +121,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     seen = sorted((r.doc_id, r.x, r.y) for r in texts.where("role = 0").select("doc_id", "y", "text").mapInArrow(tidy(measure), "doc_id bigint, y int, x array<double>").collect())
     y = np.array([r[2] for r in seen], float)
     if len(set(y.tolist())) < 2:
-        return Model(b"", b"", None, float(few[1] / (few[0] + few[1])))
+        return Model(b"", b"", None, len(drawn[1]) / (len(drawn[0]) + len(drawn[1])))
     return Model(blob[0], blob[1], fit_logistic(np.array([r[1] for r in seen]), y), 0.5)
 
 
 def quality_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5) of each whole text.
 
-    A null text is empty and scored as such. Rows keep their number; null ids and
-    repeated rows stay; other columns are ignored.
+    A null text is empty and scored as such; a very long text is compressed whole. Rows keep
+    their number; null ids and repeated rows stay (equal texts score equally); other columns
+    are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,7 +145,11 @@ def quality_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose text scores at least ``least``."""
+    """The rows of ``docs``, columns as they are (whatever their names), whose text scores at least ``least``.
+
+    A null text is scored as an empty one; repeated rows stay or go together; an
+    empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

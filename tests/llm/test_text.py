@@ -132,6 +132,45 @@ def test_quality_held_out(spark):
     assert np.allclose(again.weights, model.weights)
 
 
+def test_quality_scores_equal_brute_force(spark):
+    """Dictionaries, compressed sizes and scores worked out anew, row by row, without the operator's helpers."""
+    import math
+    import struct
+
+    import xxhash
+    import zstandard
+
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = fit_quality(table, labels, train=fold("doc_id", 3) != 1)
+    texts = {r.doc_id: r.text for r in table.collect()}
+    order = lambda i: (struct.unpack("<q", xxhash.xxh64(struct.pack("<q", i), seed=42).digest()[::-1])[0], i)
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    raw = []
+    for y in (0, 1):
+        drawn = sorted((i for i, q in known.items() if q == y), key=order)[::2]
+        raw.append("\n".join(texts[i] for i in drawn if len(texts[i].encode()) <= 20_000).encode())
+    assert (model.bad, model.good) == tuple(raw)
+    sizes = []
+    for text in texts.values():
+        both = [len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress((text or "").encode())) for d in raw]
+        sizes.append((len((text or "").encode()), *both))
+    got = {r.doc_id: r.score for r in quality_scores(table, model).collect()}
+    for i, (n, c0, c1) in zip(texts, sizes, strict=True):
+        gap, size = (c0 - c1) / (c0 + c1), math.log(1 + n) / 10
+        z = sum(w * x for w, x in zip(model.weights, (1, gap, (c0 - c1) / (n + 20), c1 / (n + 20), size, gap * size), strict=True))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_logistic_fit_is_at_the_optimum():
+    from panelforge.llm.quality import fit_logistic
+
+    rng = np.random.default_rng(4)
+    x = np.column_stack([np.ones(300), rng.normal(size=(300, 3))])
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [0.3, 2.0, -1.0, 0.0])))).astype(float)
+    w = fit_logistic(x, y)
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 1e-3 * w).max() < 1e-6
+
+
 def test_quality_without_labels_is_a_constant(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     model = fit_quality(awkward(spark), none)
