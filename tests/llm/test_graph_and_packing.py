@@ -24,7 +24,7 @@ def fits(rule, host, path):
     return (host == h or host.endswith("." + h)) and path.startswith("/" + p)
 
 
-def brute_verdicts(pages, rounds=400):
+def brute_verdicts(pages, damping, rounds=400):
     """pages: (id, host, path, linked hosts)."""
     judged = []
     for i, host, path, links in pages:
@@ -39,6 +39,11 @@ def brute_verdicts(pages, rounds=400):
         for x in links:
             if host and x != host:
                 edges[host, x] += 1
+    for host in list(n):
+        if host:
+            above = [x for k in range(1, host.count(".") + 1) if (x := host.split(".", k)[k]) in n]
+            if above:
+                edges[host, above[0]] += 1
     score = defaultdict(float)
     for sign, seeds, graph in ((1, good, edges), (-1, bad, Counter({(b, a): w for (a, b), w in edges.items()}))):
         start = {h: float(n[h]) for h in n if h and seeds[h] >= n[h] * 0.5}
@@ -52,7 +57,7 @@ def brute_verdicts(pages, rounds=400):
             step = defaultdict(float)
             for (a, b), w in graph.items():
                 if a in walk:
-                    step[b] += 0.85 * walk[a] * w / out[a]
+                    step[b] += damping * walk[a] * w / out[a]
             walk = step
         whole = sum(rank.values())
         for h, m in rank.items():
@@ -62,7 +67,7 @@ def brute_verdicts(pages, rounds=400):
 
 def test_link_graph_equals_brute_force(spark):
     rng = random.Random(1)
-    hosts = [f"h{i}.example.{rng.choice(['com', 'org', 'net'])}" for i in range(25)] + ["plain.io", "other.io"]
+    hosts = [f"h{i}.example.{rng.choice(['com', 'org', 'net'])}" for i in range(25)] + ["plain.io", "other.io", "www.h1.example.com", "a.b.plain.io", "b.plain.io", "org.plain.io"]
     pages, rows = [], []
     for i in range(300):
         host, path = rng.choice(hosts), rng.choice(["", "/", "/en/1", "/de/2", "/fr/3"])
@@ -71,11 +76,23 @@ def test_link_graph_equals_brute_force(spark):
         rows.append((i, f"https://{host.upper()}{path}?x=//no#f", html))
         pages.append((i, host, path, links))
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
-    got = {r.page_id: tuple(r)[1:] for r in linkgraph.link_filter(table).collect()}
-    want = brute_verdicts(pages)
+    got = {r.page_id: tuple(r)[1:] for r in linkgraph.link_filter(table, damping=0.6).collect()}
+    want = brute_verdicts(pages, 0.6)
     assert got == want and {v[3] for v in want.values() if v[2] is None} == {"allow", "block"}
 
 
+def test_propagation_goes_round_a_long_cycle(spark):
+    """A ring of hosts, one blocked seed: every host is reached, and the mass left is as small as stated."""
+    hosts = [f"c{k}.example.com" if k else "c0.example.net" for k in range(30)]
+    rows = [(k, f"http://{h}/", f'<a href="http://{hosts[(k + 1) % 30]}/">') for k, h in enumerate(hosts)]
+    table = spark.createDataFrame([*rows, (99, f"http://{hosts[5]}/x", None)], "page_id bigint, url string, html string")
+    assert {r.verdict for r in linkgraph.link_filter(table, damping=0.5, margin=1e-12).collect()} == {"block"}
+    edges = spark.createDataFrame([("x", h, hosts[(k + 1) % 30], 1.0) for k, h in enumerate(hosts)], "kind string, src string, dst string, w double")
+    ranks, left = linkgraph.propagate(edges, spark.createDataFrame([("x", hosts[0], 7.0)], "kind string, host string, s double"), damping=0.5)
+    got = {r.host: r["rank"] for r in ranks.collect()}
+    assert left <= 1e-10 and all(abs(got[h] - 0.5**k / 2 / (1 - 0.5**30)) < 1e-9 for k, h in enumerate(hosts))
+
+
 def test_link_graph_on_awkward_rows(spark):
     rows = [(1, None, None), (2, "no scheme", "x"), (None, "http://A.net", ""), (3, "x://", None), (3, "x://", None), (4, "http://a.com", '<a href="//b.net/x">'), (5, "http://É.ORG/fr/é\n?", "<a href=")]
     table = spark.createDataFrame([(*r, "extra", 1) for r in rows], "page_id bigint, url string, html string, host string, rule int")
