@@ -55,9 +55,9 @@ def op7_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack, word_counts
+    from .packing import pack, token_estimates
 
-    return pack(word_counts(table(spark, sf_dir, "documents")))
+    return pack(token_estimates(table(spark, sf_dir, "documents")))
 
 
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

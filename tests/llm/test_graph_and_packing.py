@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from panelforge.llm import linkgraph, queries
-from panelforge.llm.packing import best_bounds, pack, word_counts
+from panelforge.llm.packing import best_bounds, pack, token_estimates
 from panelforge.llm.pii import find_pii, mask_pii
 from panelforge.llm.quality import fit_quality, fold, quality_scores
 
@@ -102,6 +102,10 @@ def test_link_graph_on_awkward_rows(spark):
     assert linkgraph.link_filter(table.limit(0)).count() == 0
 
 
+def tokens_of(text):
+    return sum(-(-len(w.encode()) // 2) for w in words(text))
+
+
 def brute_bounds(lengths, buckets):
     values = sorted(set(lengths))
     best = None
@@ -119,11 +123,26 @@ def test_bounds_are_optimal():
         lengths = [rng.randrange(0, 30) for _ in range(rng.randrange(1, 25))]
         values = sorted(set(lengths))
         n = Counter(lengths)
-        bounds, waste = best_bounds(np.array(values), np.array([n[v] for v in values]), np.array([n[v] * v for v in values]), 3)
+        bounds, waste = best_bounds(values, [n[v] for v in values], 3)
         assert waste == brute_bounds(lengths, 3) == sum(next(b for b in bounds if b >= x) - x for x in lengths)
         assert len(bounds) <= 3 and bounds == sorted(bounds) and bounds[-1] == values[-1]
 
 
+def test_bounds_of_many_long_lengths_are_optimal():
+    """Against the plain program that tries every cut, on lengths up to a million."""
+    rng = np.random.default_rng(8)
+    values = np.unique((10 ** rng.uniform(0, 6, 300)).astype(int)).tolist()
+    n = rng.integers(1, 50, len(values)).tolist()
+    best = {(0, 0): 0}
+    cost = lambda i, j: sum(n[k] * (values[j - 1] - values[k]) for k in range(i, j))
+    table = [[cost(i, j) if i < j else 0 for j in range(len(values) + 1)] for i in range(len(values))]
+    for k in range(1, 7):
+        for j in range(1, len(values) + 1):
+            best[k, j] = min(best.get((k - 1, i), np.inf) + table[i][j] for i in range(j))
+    bounds, waste = best_bounds(values, n, 6)
+    assert waste == min(best[k, len(values)] for k in range(1, 7)) == sum(c * (next(b for b in bounds if b >= v) - v) for v, c in zip(values, n, strict=True))
+
+
 @pytest.mark.parametrize("slice_rows", [7, 50_000])
 def test_batches_keep_budget_and_every_row(spark, slice_rows):
     rng = random.Random(3)
@@ -145,9 +164,9 @@ def test_batches_keep_budget_and_every_row(spark, slice_rows):
 
 def test_packing_on_awkward_rows(spark):
     table = awkward(spark)
-    got = pack(word_counts(table)).collect()
-    assert Counter((r.doc_id, r.length) for r in got) == Counter((r.doc_id, len(words(r.text))) for r in table.collect())
-    assert pack(word_counts(empty(spark))).count() == 0
+    got = pack(token_estimates(table)).collect()
+    assert Counter((r.doc_id, r.length) for r in got) == Counter((r.doc_id, tokens_of(r.text)) for r in table.collect())
+    assert pack(token_estimates(empty(spark))).count() == 0
 
 
 def test_every_stage_of_the_pipeline(spark):
@@ -174,7 +193,7 @@ def test_every_stage_of_the_pipeline(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in masked.collect()} == {r.doc_id: (t := mask_pii(r.text, find_pii(r.text)), len(t)) for r in alone.collect()}
     for step in (good, unique, alone, masked):
         assert step.columns == table.columns
-    assert {r.doc_id: r.length for r in stages["packing"](spark, masked, SF).collect()} == {r.doc_id: len(words(r.text)) for r in masked.collect()}
+    assert {r.doc_id: r.length for r in stages["packing"](spark, masked, SF).collect()} == {r.doc_id: tokens_of(r.text) for r in masked.collect()}
     whole = queries.queries()["pipeline"](spark, SF)
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in masked.collect()}
 
@@ -186,3 +205,25 @@ def test_pipeline_on_awkward_rows(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == make(spark).columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+CLASHES = ("text_hash", "_sha", "_id", "_gone", "h", "row", "n", "len", "norm", "cls", "go", "component_id", "length", "score", "kept", "doc_id_key", "masked", "i")
+
+
+def test_stages_decide_rows_whatever_their_other_columns(spark):
+    """Extra columns named as the stages' own, repeated rows and ids, null ids and texts: which rows stay, by value."""
+    base, other = "one two three four five six seven eight nine ten", "eleven twelve thirteen fourteen fifteen"
+    rows = [(1, base), (2, base.upper()), (2, base.upper()), (2, other), (3, None), (4, ""), (None, base), (None, "alone"), (5, base + " eleven")]
+    form = "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in CLASHES)
+    table = spark.createDataFrame([(*r, *([f"v{k}"] * len(CLASHES))) for k, r in enumerate(rows)], form)
+    stages = dict(corpus_pipeline.STAGES)
+    unique = stages["exact dedup"](spark, table, SF)
+    assert unique.columns == table.columns
+    assert sorted(((r.doc_id, r.text, r["_sha"]) for r in unique.collect()), key=str) == sorted([(2, base.upper(), "v1"), (2, other, "v3"), (4, "", "v5"), (None, "alone", "v7"), (5, base + " eleven", "v8")], key=str)
+    alone = stages["n-gram Jaccard join"](spark, unique, SF)
+    # 5 is linked with one text of id 2 only, so the least id of the group, 2, stays and 5 goes
+    assert alone.columns == table.columns and sorted((r.doc_id or 0, r.text) for r in alone.collect()) == sorted([(2, base.upper()), (2, other), (4, ""), (0, "alone")])
+    masked = stages["PII"](spark, alone, SF)
+    assert masked.columns == table.columns and masked.count() == 4
+    assert stages["quality classifier"](spark, table, SF).columns == table.columns
+    assert stages["packing"](spark, masked, SF).count() == 4
