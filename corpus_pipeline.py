@@ -13,41 +13,63 @@ from pyspark.sql import functions as F
 from panelforge.llm.block_naming import ascii_lower, block_naming_dedup
 from panelforge.llm.kit import release, stash
 from panelforge.llm.ngram_join import ngram_jaccard_join
-from panelforge.llm.packing import pack, word_counts
+from panelforge.llm.packing import pack, token_estimates
 from panelforge.llm.pii import mask_column
 from panelforge.llm.quality import fit_quality, fold, keep_good
 from panelforge.llm.sieve import anti, maybe_in
 from panelforge.session import read_table
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go (score under 0.5)."""
+    """Documents that the compression classifier rejects go (score under 0.5).
+
+    Whole texts are scored, a null text as an empty one; rows of one text stay or go
+    together; without labels of both kinds every score is the same constant. Other columns are
+    kept whatever their names; an empty table gives an empty result.
+    """
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"), train=fold("doc_id", 3) != 1)
     return keep_good(docs, model)
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """One row of each (id, text), if any id is repeated; most inputs pay only for a count of ids."""
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return docs.dropDuplicates(["doc_id", "text"]) if again else docs
+def _one_row_each(docs: DataFrame, sha: str) -> DataFrame:
+    """One row of each (id, text hash): the one whose JSON form comes first. Only rows that share both are moved."""
+    again = stash(docs.groupBy("doc_id", sha).agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("doc_id", sha).alias("h")))
+    doubt = maybe_in(again, "h")(F.xxhash64("doc_id", sha))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = docs.where(doubt).groupBy("doc_id", sha).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return docs.where(~doubt).unionByName(first)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
-    gone = stash(block_naming_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct())
-    # an id may stand for several texts: the text's hash decides with it, where the id is in doubt
-    ids = stash(gone.select("doc_id").distinct())
-    doubt = maybe_in(ids.select(F.xxhash64("doc_id").alias("h")), "h")(F.xxhash64("doc_id"))
-    near = docs.where(doubt).withColumn("_sha", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    other = gone.select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_gone"))
-    kept = near.join(other, near.doc_id.eqNullSafe(other._id) & (near._sha == other._gone), "left_anti").drop("_sha")
-    return _one_row_each(docs.where(~doubt).unionByName(kept))
+    """Of texts equal but for the case of A-Z, one row stays: the largest doc_id's, and of its rows the first in JSON form.
+
+    A null text counts as empty; null ids stay only where their text has no other. An id may stand for
+    several texts: each is decided on its own. Other columns are kept whatever their names;
+    very long texts are compared whole; an empty table gives an empty result.
+    """
+    gone = stash(block_naming_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct())
+    sha = _unused(docs, "text_hash")
+    keyed = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+    doubt = maybe_in(stash(gone.select(F.xxhash64("_id", "_gone").alias("h"))), "h")(F.xxhash64(F.col("doc_id").cast("bigint"), F.col(sha)))
+    near = keyed.where(doubt)
+    kept = near.join(gone, near.doc_id.eqNullSafe(gone._id) & (near[sha] == gone._gone), "left_anti")
+    return _one_row_each(keyed.where(~doubt).unionByName(kept), sha).drop(sha)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8 stays: the least doc_id.
 
-    An id that several texts share goes only if each of them would.
+    An id that several texts share goes only if each of them would. Null, empty and
+    blank texts are linked with nothing and stay; a null id stays. Other columns are kept
+    whatever their names; an empty table gives an empty result.
     """
     linked = ngram_jaccard_join(docs)
     gone = stash(linked.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("go")).where("go").select("doc_id"))
@@ -55,7 +77,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each span of personal data in a text is replaced by its kind; n_chars follows the text if it is a column."""
+    """Each span of personal data in a text is replaced by its kind; n_chars follows the text if it is a column.
+
+    Rows and other columns stay as they are; a null text stays null (as does its n_chars); an
+    empty table gives an empty result.
+    """
     out = mask_column(docs)
     if "n_chars" in out.columns:
         kind = dict(out.dtypes)["n_chars"]
@@ -64,8 +90,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length bucket and token-budget batch of each document."""
-    return pack(word_counts(docs))
+    """Length bucket and token-budget batch of each row; lengths are estimates in tokens, null texts 0.
+
+    Repeated rows each get a slot; other columns are left out; an empty table gives an
+    empty result.
+    """
+    return pack(token_estimates(docs))
 
 
 STAGES = [
