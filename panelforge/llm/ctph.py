@@ -3,19 +3,20 @@
 A hash of the last seven bytes rolls over the UTF-8 text; where its low bits are
 all ones a chunk ends, so that boundaries follow the content and an edit moves
 only those near it. Each chunk gives one of 64 characters. The block size is the
-least power of two with at most 64 chunks; the fingerprint holds the signature at that
-size and at twice it, so texts whose sizes differ by a factor of two still compare.
-Likeness is 1 - edit distance / longer length at the sizes both have.
+least power of two with at most 64 chunks; the fingerprint holds the signatures at that
+size, twice and four times it, so texts whose sizes differ by a factor of four still compare.
+Likeness is 1 - edit distance / longer length, the best over the sizes both have.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kit import _TABLE, U64, column, prefix_hash, span_hash, text_slices, tidy
@@ -23,6 +24,9 @@ from .kit import _TABLE, U64, column, prefix_hash, span_hash, text_slices, tidy
 WINDOW = 7
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 MOST = 64
+#: Block sizes of a fingerprint, each twice the one before.
+SIZES = 3
+Print = tuple  # (log2 of the least block size, a signature for each size)
 _SMALL = (_TABLE >> U64(32)).astype(np.uint32)
 _STEP = np.uint32(0x01000193)
 _MOST_BITS = 30
@@ -51,56 +55,41 @@ def trailing_ones(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spaced(ends: np.ndarray, start: int, gap: int) -> np.ndarray:
-    """The boundaries at least ``gap`` bytes after the one before, from the left."""
-    out, at = [], start
-    while (i := int(np.searchsorted(ends, at + gap))) < len(ends) and len(out) < MOST - 1:
-        at = int(ends[i])
-        out.append(at)
-    return np.array(out, np.int64)
-
-
-def signatures(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text (log2 of block size, signature, signature at twice the size), as places in LETTERS."""
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+def signatures(data: np.ndarray, offs: np.ndarray) -> list[Print]:
+    """For each text (log2 of block size, signatures at that size, twice and four times it), as places in LETTERS."""
+    out: list[Print] = []
     none = np.zeros(0, np.uint8)
     if not len(data):
-        return [(0, none, none)] * (len(offs) - 1)
+        return [(0, none, none, none)] * (len(offs) - 1)
     ones = trailing_ones(data, offs)
     prefix = prefix_hash(data, _TABLE)
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         if a == b:
-            out.append((0, none, none))
+            out.append((0, none, none, none))
             continue
         own = ones[a:b]
         # boundaries at 2^j are those at 2^(j+1) and others: count once, from the top
         least = np.cumsum(np.bincount(own, minlength=_MOST_BITS + 1)[::-1])[::-1]
         level = int(np.argmax(least < MOST)) if (least < MOST).any() else _MOST_BITS + 1
-        # periodic text may jump from too many boundaries to a few: then spaced ones of the level below
-        spaced = level > 0 and least[min(level, _MOST_BITS)] < MOST // 4
-        level -= spaced
-        pair = []
-        for j in (level, level + 1):
+        each = []
+        for j in range(level, level + SIZES):
             end = np.flatnonzero(own >= j) + a + 1
-            if spaced and j == level:
-                end = _spaced(end, a, -(-(b - a) // MOST))
             if not len(end) or end[-1] != b:
                 end = np.append(end, b)
             start = np.concatenate(([a], end[:-1]))
-            pair.append((span_hash(prefix, start, end) >> U64(58)).astype(np.uint8))
-        out.append((level, pair[0], pair[1]))
+            each.append((span_hash(prefix, start, end) >> U64(58)).astype(np.uint8))
+        out.append((level, *each))
     return out
 
 
-def written(fp: tuple[int, np.ndarray, np.ndarray]) -> str:
-    level, one, two = fp
-    return f"{1 << level}:{''.join(LETTERS[i] for i in one)}:{''.join(LETTERS[i] for i in two)}"
+def written(fp: Print) -> str:
+    return ":".join([str(1 << fp[0]), *("".join(LETTERS[i] for i in x) for x in fp[1:])])
 
 
-def read_back(text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    size, one, two = text.split(":")
+def read_back(text: str) -> Print:
+    size, *each = text.split(":")
     place = {c: i for i, c in enumerate(LETTERS)}
-    return int(size).bit_length() - 1, np.array([place[c] for c in one], np.uint8), np.array([place[c] for c in two], np.uint8)
+    return int(size).bit_length() - 1, *(np.array([place[c] for c in x], np.uint8) for x in each)
 
 
 def edit_distances(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -134,19 +123,14 @@ def edit_distances(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return np.where(m == 0, n, score)
 
 
-def likeness(a: list[tuple], b: list[tuple]) -> np.ndarray:
-    """Likeness (0 to 1) of pairs of fingerprints; 0 where no block size is shared, 1 for equal ones."""
+def likeness(a: list[Print], b: list[Print]) -> np.ndarray:
+    """Likeness (0 to 1) of pairs of fingerprints at all block sizes both have, the best of them; 0 where none is shared, 1 for equal ones."""
     owner, left, right = [], [], []
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        for u, v in ((0, 0), (0, 1), (1, 0)):
-            if x[0] + u == y[0] + v:
-                owner.append(i)
-                left.append(x[1 + u])
-                right.append(y[1 + v])
-                if not u and not v:
-                    owner.append(i)
-                    left.append(x[2])
-                    right.append(y[2])
+        for size in range(max(x[0], y[0]), min(x[0], y[0]) + SIZES):
+            owner.append(i)
+            left.append(x[1 + size - x[0]])
+            right.append(y[1 + size - y[0]])
     out = np.zeros(len(a))
     if owner:
         longer = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)])
@@ -154,14 +138,19 @@ def likeness(a: list[tuple], b: list[tuple]) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def fingerprints_of(texts: list[str]) -> list[Print]:
     raw = [t.encode() for t in texts]
     offs = np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64)))
     return signatures(np.frombuffer(b"".join(raw), np.uint8), offs)
 
 
 def ctph_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint of each whole text (null: empty); rows keep their number."""
+    """doc_id and fingerprint of each whole text.
+
+    A null text is empty and has empty signatures; a very long one is hashed whole, at larger
+    block sizes. Equal texts have equal fingerprints. Rows keep their number; null ids and
+    repeated rows stay; other columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,27 +164,40 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows dealt into ascending id ranges, sorted, each range followed by the first row of the next.
 
     Columns doc_id, text, bucket, follows (true for that extra row). The ranges come
-    from approximate percentiles of the ids; only their bounds and first ids, at most one
-    for each partition, reach the driver. The last range is followed by the first row.
+    from approximate percentiles of the ids; only their bounds and least ids, one for each
+    partition, reach the driver. A row finds its range in two steps over about the
+    square root of their number. The last range is followed by the first row.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions(), 1)
-    bounds = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n + 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < key)) if bounds else F.lit(0)
+    found = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10 * n + 1000).alias("bounds"), F.max("k").alias("top")).first()
+    # each bound is an id, and there is one beyond the last: no range is empty
+    bounds = sorted({b for b in found.bounds or [] if b < found.top})
+    bucket = _range_of(key, bounds)
     keyed = docs.withColumn("k", key).withColumn("bucket", bucket)
-    heads = sorted((r.bucket, r.k) for r in keyed.groupBy("bucket").agg(F.min("k").alias("k")).collect())
-    # the first id of a range also goes to the range before it
-    before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
-    places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("f")))
-    if before:
-        lookup = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-        extra = F.array(F.struct(F.element_at(lookup, F.col("k")).alias("b"), F.lit(True).alias("f")))
-        places = F.when(F.col("k").isin(list(before)), F.concat(places, extra)).otherwise(places)
+    heads = [r.k for r in keyed.groupBy("bucket").agg(F.min("k").alias("k")).collect()]
+    # the first rows of a range also go to the range before it
+    count = len(bounds) + 1
+    place = lambda b, follows: F.struct(b.cast("int").alias("b"), F.lit(follows).alias("f"))
+    own = place(F.col("bucket"), False)
+    places = F.when(F.col("k").isin(heads), F.array(own, place(F.pmod(F.col("bucket") - 1, F.lit(count)), True))).otherwise(F.array(own))
     dealt = keyed.select("doc_id", "k", "text", F.explode(places).alias("p")).select("doc_id", "k", "text", F.col("p.b").alias("bucket"), F.col("p.f").alias("follows"))
-    return dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "follows", "k", "text").drop("k")
+    return dealt.repartitionById(count, F.col("bucket")).sortWithinPartitions("bucket", "follows", "k", "text").drop("k")
+
+
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """Number of ``bounds`` (ascending) below the key: which run of them, then which place in the run."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    runs = [bounds[k:k + step] for k in range(0, len(bounds), step)]
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < key))
+    run = below(F.lit([r[-1] for r in runs]))
+    inside = below(F.element_at(F.lit([*runs, []]), run + 1))
+    # beyond the last bound, a short last run counts as it is long
+    return F.least(run * step + inside, F.lit(len(bounds))).cast("int")
 
 
 def ctph_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -217,6 +217,58 @@ def test_fingerprints_ignore_what_stands_beside_a_text():
         assert ctph.likeness([f], [f])[0] == 1.0
 
 
+def plain_prints(text):
+    """Block size and signatures of a text, byte by byte: the definition, without the operator's arrays."""
+    mask, data = (1 << 64) - 1, text.encode()
+
+    def mixed(x):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * times) & mask
+        return x ^ (x >> 31)
+
+    code = [mixed((b + 0x9E3779B97F4A7C15) & mask) for b in range(256)]
+    ones = []
+    for i in range(len(data)):
+        h = 0
+        for j in range(i - 6, i + 1):
+            h = (h * 0x01000193 + (code[data[j]] >> 32 if j >= 0 else 0)) & 0xFFFFFFFF
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        h ^= h >> 12
+        ones.append(min(30, (len(t) - len(t.rstrip("1"))) if (t := f"{h:032b}") else 0))
+    level = 0
+    while sum(x >= level for x in ones) >= 64:
+        level += 1
+    prints = []
+    for size in range(level, level + 3):
+        cuts = [i + 1 for i, x in enumerate(ones) if x >= size]
+        cuts = cuts if cuts and cuts[-1] == len(data) else [*cuts, len(data)]
+        letters, a = "", 0
+        for b in cuts if data else []:
+            total = 0
+            for k, byte in enumerate(data[a:b]):
+                total = (total + code[byte] * pow(0x5851F42D4C957F2D, k, 1 << 64)) & mask
+            letters += ctph.LETTERS[mixed((total + b - a + 0x9E3779B97F4A7C15) & mask) >> 58]
+            a = b
+        prints.append(letters)
+    return ":".join([str(1 << level), *prints])
+
+
+def test_fingerprints_equal_a_plain_reading_of_the_definition():
+    rng = random.Random(6)
+    for text in ["", "a", "abcdefg", "é ü 漢字 🙂", prose(rng, 40), prose(rng, 900), "Der " * 400, "ab" * 3000]:
+        assert ctph.written(ctph.fingerprints_of([text])[0]) == plain_prints(text)
+
+
+def test_likeness_is_the_best_over_shared_sizes():
+    rng = random.Random(7)
+    pairs = [(prose(rng, n), prose(rng, m)) for n, m in ((30, 40), (30, 900), (100, 160), (5, 5000))] + [((t := prose(rng, 300)), t + " more")]
+    for x, y in pairs:
+        fx, fy = (plain_prints(t).split(":") for t in (x, y))
+        shared = [(u, v) for k, u in enumerate(fx[1:]) for m, v in enumerate(fy[1:]) if int(fx[0]) << k == int(fy[0]) << m]
+        want = max((1 - levenshtein(u, v) / max(len(u), len(v)) for u, v in shared), default=0.0)
+        assert ctph.likeness(ctph.fingerprints_of([x]), ctph.fingerprints_of([y]))[0] == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_edited_rows_equal_brute_force(spark, parts):
     rng = random.Random(3)
