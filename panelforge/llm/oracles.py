@@ -32,3 +32,18 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
 """
+
+REPEATED_PASSAGES = rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_ASCII}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(len(w) - 49)) AS k, unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i+49], ' '))) AS g FROM words WHERE len(w) >= 50
+), again AS (
+  SELECT g FROM windows GROUP BY g HAVING min(doc_id) <> max(doc_id)
+), found AS (
+  SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM windows SEMI JOIN again USING (g)
+), spans AS (
+  SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS span FROM found
+)
+SELECT doc_id, min(k) AS start_word, max(k) + 50 AS end_word, max(k) + 50 - min(k) AS n_words FROM spans GROUP BY doc_id, span
+"""

@@ -12,6 +12,10 @@ are grouped by their words: a region that two documents have is a match as a who
 The windows of each distinct region are grouped next, and settle which windows of the
 regions of one document are elsewhere too. Both are plain groups by hash, so every
 window meets every other copy. Touching spans are joined.
+
+Sorting the suffixes by what follows and comparing neighbours alone would lose passages: of
+two copies that agree mostly to the left of the place, other rows may sort in between.
+Grouping by whole windows instead extends every match as far as its words agree, both ways.
 """
 
 from __future__ import annotations
@@ -79,8 +83,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     a part of at least ``min_words`` words of it), one row for each maximal span; documents
     without a repeat have no row. Rows with one id are one document (a repeat inside
     a document alone doesn't count); rows with a null id are one document with a
-    null id. Null and short texts have no passages. Other columns are ignored; an
-    empty table gives an empty result. ``min_words`` is at least KEY + W - 1.
+    null id. Null, empty and short texts have no passages; very long texts are read whole;
+    several partners of a span give one of them. Other columns are ignored; an empty
+    table gives an empty result. ``min_words`` is at least KEY + W - 1.
     """
     if min_words < KEY + W - 1:
         raise ValueError(f"min_words must be at least {KEY + W - 1}")
@@ -128,7 +133,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lone = each.where("lo = hi").select("region", F.col("lo").alias("doc"), "k", "window").mapInArrow(tidy(passed), "region bigint, doc bigint, k int, window bigint")
     part = lone.join(shared, "window").groupBy("region").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.min(F.expr("if(lo <> doc, lo, hi)")).alias("lo")).withColumn("hi", F.col("lo"))
     whole = regions.where("lo <> hi").select("region", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"), "lo", "hi")
-    spans = rows.select("region", "doc", "start").join(whole.unionByName(part), "region")
+    # written before the join: a region that very many documents have is then split over tasks
+    marks = stash(whole.unionByName(part))
+    spans = rows.select("region", "doc", "start").join(marks, "region")
     # windows of one region overlap: their first and last bound one span
     spans = spans.selectExpr("doc", "start + low as start", f"start + high + {min_words} as stop", "if(lo <> doc, lo, hi) as partner")
 
@@ -136,4 +143,4 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spans = spans.selectExpr("*", "sum(cast(before is null or start > before as int)) over (partition by doc order by start, stop rows unbounded preceding) as span")
     out = spans.groupBy("doc", "span").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("partner").alias("partner_id"))
     out = out.select(F.expr("case when doc = -9223372036854775808 then null else doc end").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.expr("case when partner_id = -9223372036854775808 then null else partner_id end").alias("partner_id"))
-    return settle(out, rows, regions, shared)
+    return settle(out, rows, regions, shared, marks)
