@@ -13,58 +13,75 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stash
 from ..functions.columns import hash_uniform
-from .windows import average_rank
+from .panel import numbered
+from .windows import counted, ranks_of
 
 # --- ranks -----------------------------------------------------------------------------
+#
+# All from counts of distinct values and their ranks; rows are never ranked one by one.
+
+
+def _rank_sums(df: DataFrame, group: str, value: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, group, m, r): rows and rank sum of each group; (keys, n, ties): rows and sum of t^3 - t."""
+    ranks = stash(ranks_of(counted(df, value, keys), value, keys))
+    held = df.groupBy(*keys, group, value).agg(F.count("*").alias("_c")).join(ranks, [*keys, value])
+    each = held.groupBy(*keys, group).agg(F.sum("_c").alias("m"), F.sum(F.col("_c") * F.col("_rank")).alias("r"))
+    t = F.col("_t").cast("double")
+    ties = ranks.groupBy(*keys).agg(F.sum("_t").alias("n"), F.sum(t * t * t - t).alias("ties"))
+    return each, ties
 
 
 def kruskal(df: DataFrame, group: str, value: str, keys: list[str]) -> DataFrame:
     """(keys, h, epsilon2, n, k): tie-corrected Kruskal-Wallis H and max(0, (H - k + 1) / (n - k))."""
-    by = keys or ["_one"]
-    x = average_rank(df if keys else df.withColumn("_one", F.lit(1)), value, by, "_r")
-    per = x.groupBy(*by, group).agg(F.count("*").alias("n"), F.sum("_r").alias("r")).groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.expr("r * r / n")).alias("s"))
-    ties = x.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.expr("t * t * t - t")).alias("ties"))
-    out = per.join(ties, by).selectExpr(*keys, "n", "k", "(12.0d / (n * (n + 1)) * s - 3 * (n + 1)) / nullif(1 - coalesce(ties / nullif(cast(n * n * n - n as double), 0.0d), 0.0d), 0.0d) as h")
+    each, ties = _rank_sums(df, group, value, keys)
+    per = each.groupBy(*keys).agg(F.count("*").alias("k"), F.sum(F.expr("r * r / m")).alias("s"))
+    met = per.join(ties, keys) if keys else per.crossJoin(ties)  # rows of one
+    shrink = "nullif(1 - coalesce(ties / nullif(cast(n * n * n - n as double), 0.0d), 0.0d), 0.0d)"
+    out = met.selectExpr(*keys, "n", "k", f"(12.0d / (n * (n + 1)) * s - 3 * (n + 1)) / {shrink} as h").where("n > 0")
     return out.selectExpr(*keys, "n", "k", "h", "case when n > k then greatest(0.0d, (h - k + 1) / (n - k)) end as epsilon2")
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, a, b, na, nb, u, delta): U of each pair of groups and Cliff's delta, from ranks in the pair (no pairs of rows)."""
     keys = keys or []
-    names = df.select(*keys, group).distinct()
-    pairs = names.withColumnRenamed(group, "a").join(names.withColumnRenamed(group, "b"), keys) if keys else names.withColumnRenamed(group, "a").crossJoin(names.withColumnRenamed(group, "b"))
-    pairs = pairs.where("a < b")
-    side = F.explode(F.array(F.struct(F.col("a").alias("_g"), F.lit(1).alias("_left")), F.struct(F.col("b").alias("_g"), F.lit(0).alias("_left"))))
-    rows = pairs.select(*keys, "a", "b", side.alias("s")).select(*keys, "a", "b", "s._g", "s._left").join(df.select(*keys, F.col(group).alias("_g"), value), [*keys, "_g"])
-    ranked = average_rank(rows, value, [*keys, "a", "b"], "_r")
-    out = ranked.groupBy(*keys, "a", "b").agg(F.sum("_left").alias("na"), F.sum(F.lit(1) - F.col("_left")).alias("nb"), F.sum(F.expr("case when _left = 1 then _r end")).alias("r"))
+    held = stash(df.groupBy(*keys, F.col(group).alias("_g"), value).agg(F.count("*").alias("_c")))
+    names = held.select(*keys, "_g").distinct()
+    left, right = names.withColumnRenamed("_g", "a"), names.withColumnRenamed("_g", "b")
+    pairs = (left.join(right, keys) if keys else left.crossJoin(right)).where("a < b")  # a row for each pair of groups
+    sides = pairs.select(*keys, "a", "b", F.explode(F.array("a", "b")).alias("_g"))
+    both = sides.join(held, [*keys, "_g"]).groupBy(*keys, "a", "b", value).agg(F.sum("_c").alias("_t"), F.sum(F.expr("if(_g = a, _c, 0)")).alias("_l"))
+    ranked = ranks_of(both, value, [*keys, "a", "b"])
+    out = ranked.groupBy(*keys, "a", "b").agg(F.sum("_l").alias("na"), F.sum(F.col("_t") - F.col("_l")).alias("nb"), F.sum(F.col("_l") * F.col("_rank")).alias("r"))
     return out.selectExpr(*keys, "a", "b", "na", "nb", "r - na * (na + 1) / 2.0d as u", "2 * (r - na * (na + 1) / 2.0d) / (na * nb) - 1 as delta")
 
 
 def dunn(df: DataFrame, group: str, value: str) -> DataFrame:
     """(a, b, z): Dunn's pairwise z with tie correction."""
-    x = average_rank(df.withColumn("_one", F.lit(1)), value, ["_one"], "_r")
-    tie = x.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum("t").alias("n"), F.sum(F.expr("t * t * t - t")).alias("s"))
-    g = x.groupBy(group).agg(F.count("*").alias("m"), F.avg("_r").alias("r"))
-    a, b = g.selectExpr(f"{group} as a", "m as ma", "r as ra"), g.selectExpr(f"{group} as b", "m as mb", "r as rb")
-    pairs = a.join(b, F.col("a") < F.col("b")).crossJoin(F.broadcast(tie))  # a row for each pair of groups
-    return pairs.selectExpr("a", "b", "(ra - rb) / sqrt(n * (n + 1) / 12.0d * (1 - s / cast(n * n * n - n as double)) * (1.0d / ma + 1.0d / mb)) as z")
+    each, ties = _rank_sums(df, group, value, [])
+    each = stash(each)
+    a, b = each.selectExpr(f"{group} as a", "m as ma", "r / m as ra"), each.selectExpr(f"{group} as b", "m as mb", "r / m as rb")
+    pairs = a.join(b, F.col("a") < F.col("b")).crossJoin(F.broadcast(ties))  # a row for each pair of groups
+    return pairs.selectExpr("a", "b", "(ra - rb) / sqrt(n * (n + 1) / 12.0d * (1 - ties / cast(n * n * n - n as double)) * (1.0d / ma + 1.0d / mb)) as z")
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    by = keys or ["_one"]
-    base = (df if keys else df.withColumn("_one", F.lit(1))).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = average_rank(average_rank(base, x, by, "_rx"), y, by, "_ry")
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")).select(*keys, "n", "rho")
+    """(keys, n, rho) over rows that have both values; the mean rank is known, so sums are taken about it."""
+    held = stash(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_c")))
+    side = lambda c, r: stash(ranks_of(held.groupBy(*keys, c).agg(F.sum("_c").alias("_t")), c, keys).select(*keys, c, (F.col("_rank") - (F.col("_n") + 1) / 2).alias(r)))
+    met = held.join(side("_x", "_rx"), [*keys, "_x"]).join(side("_y", "_ry"), [*keys, "_y"])
+    total = lambda a, b: F.sum(F.col("_c") * F.col(a) * F.col(b))
+    rho = total("_rx", "_ry") / F.nullif(F.sqrt(total("_rx", "_rx") * total("_ry", "_ry")), F.lit(0.0))
+    cols = [F.sum("_c").alias("n"), rho.alias("rho")]
+    return met.groupBy(*keys).agg(*cols) if keys else met.agg(*cols)
 
 
 def wilcoxon(df: DataFrame, diff: str, keys: list[str]) -> DataFrame:
     """(keys, n, w): signed-rank statistic min(R+, R-), zeros dropped."""
-    by = keys or ["_one"]
-    x = (df if keys else df.withColumn("_one", F.lit(1))).where(F.col(diff) != 0).withColumn("_a", F.abs(diff))
-    r = average_rank(x, "_a", by, "_r")
-    out = r.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col(diff) > 0, F.col("_r"))), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.when(F.col(diff) < 0, F.col("_r"))), F.lit(0.0)).alias("m"))
+    held = df.where(F.col(diff) != 0).groupBy(*keys, F.abs(diff).alias("_a")).agg(F.count("*").alias("_t"), F.count_if(F.col(diff) > 0).alias("_up"))
+    r = ranks_of(held, "_a", keys)
+    out = r.groupBy(*keys).agg(F.sum("_t").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("p"), F.sum((F.col("_t") - F.col("_up")) * F.col("_rank")).alias("m"))
     return out.select(*keys, "n", F.least("p", "m").alias("w"))
 
 
@@ -112,8 +129,8 @@ def ols(df: DataFrame, xs: list[str], y: str) -> dict:
     return {"beta": beta, "rss": rss, "rank": int(np.linalg.matrix_rank(m, hermitian=True)), "n": n, "inverse": inv}
 
 
-def hc3(df: DataFrame, xs: list[str], y: str) -> DataFrame:
-    """(term, beta, se): OLS with HC3 errors; leverages and the meat are computed over the cluster."""
+def _hc3_covariance(df: DataFrame, xs: list[str], y: str) -> tuple[np.ndarray, np.ndarray]:
+    """OLS coefficients and their HC3 covariance; leverages and the meat are computed over the cluster."""
     fit = ols(df, xs, y)
     p = len(xs)
     pred = sum((F.col(x) * float(b) for x, b in zip(xs, fit["beta"], strict=True)), F.lit(0.0))
@@ -121,11 +138,25 @@ def hc3(df: DataFrame, xs: list[str], y: str) -> DataFrame:
     e = df.withColumn("_w", F.pow((F.col(y) - pred) / (1 - lev), 2))
     meat = e.agg(*(F.sum(F.col(xs[i]) * F.col(xs[j]) * F.col("_w")).alias(f"m{i}_{j}") for i in range(p) for j in range(i, p))).first()
     mid = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
-    cov = fit["inverse"] @ mid @ fit["inverse"]
-    rows = [(x, float(b), float(math.sqrt(max(0.0, cov[i, i])))) for i, (x, b) in enumerate(zip(xs, fit["beta"], strict=True))]
+    return fit["beta"], fit["inverse"] @ mid @ fit["inverse"]
+
+
+def hc3(df: DataFrame, xs: list[str], y: str) -> DataFrame:
+    """(term, beta, se): OLS with HC3 errors."""
+    beta, cov = _hc3_covariance(df, xs, y)
+    rows = [(x, float(b), float(math.sqrt(max(0.0, cov[i, i])))) for i, (x, b) in enumerate(zip(xs, beta, strict=True))]
     return df.sparkSession.createDataFrame(rows, "term string, beta double, se double")
 
 
+def hc3_wald(df: DataFrame, xs: list[str], terms: list[str], y: str) -> DataFrame:
+    """(wald, df): joint HC3 Wald statistic of some terms, and the rank of their covariance."""
+    beta, cov = _hc3_covariance(df, xs, y)
+    at = [xs.index(t) for t in terms]
+    own = cov[np.ix_(at, at)]
+    wald = float(beta[at] @ np.linalg.pinv(own, hermitian=True) @ beta[at])
+    return df.sparkSession.createDataFrame([(wald, int(np.linalg.matrix_rank(own, hermitian=True)))], "wald double, df int")
+
+
 def partial_r2(df: DataFrame, reduced: list[str], added: list[str], y: str) -> DataFrame:
     """(rss_reduced, rss_full, f, partial_r2): incremental F and partial R2 in [0, 1]."""
     a, b = ols(df, reduced, y), ols(df, [*reduced, *added], y)
@@ -142,6 +173,134 @@ def fixed_effect_beta(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return d.agg((F.sum(F.col("dx") * F.col("dy")) / F.sum(F.col("dx") * F.col("dx"))).alias("beta"), F.count("*").alias("n"))
 
 
+# --- adjusted tests: fixed effects absorbed, residuals permuted within strata ----------------------------
+
+
+def moments(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, int]:
+    """Cross moments of columns and the number of rows, in one pass; a matrix of their size reaches the driver."""
+    k = len(cols)
+    r = df.agg(*(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)), F.count("*").alias("n")).first()
+    return np.array([[r[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float), int(r.n)
+
+
+def permuted(df: DataFrame, key: str, strata: list[str], values: list[str], keep: list[str], reps: int, seed: int) -> DataFrame:
+    """(rep, key, keep, values): in each replicate the values of a stratum's rows are dealt out anew to its rows.
+
+    The order is by hash of (seed, replicate, key), so any engine repeats it; ``keep`` stays where it was.
+    """
+    by = ", ".join(["rep", *strata])
+    x = replicates(df.select(key, *strata, *values), reps).withColumn("_u", hash_uniform(seed, F.col("rep"), F.col(key)))
+    x = x.selectExpr("rep", *strata, *values, f"row_number() over (partition by {by} order by _u, {key}) as _pos")
+    if strata:
+        fixed = df.selectExpr(key, *strata, *keep, f"row_number() over (partition by {', '.join(strata)} order by {key}) as _pos")
+    else:
+        fixed = numbered(df, key).select(key, (F.col("idx") + 1).alias("_pos")).join(df.select(key, *keep), key)
+    return x.join(fixed, [*strata, "_pos"]).select("rep", key, *keep, *values)
+
+
+def reduced_residuals(df: DataFrame, key: str, stratum: str, ys: list[str], covariates: list[str], added: list[str], keep: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """Residuals e0, e1, ... of outcomes and z0, z1, ... of added terms on covariates and a fixed effect of each stratum.
+
+    Fixed effects are absorbed by centring within strata, so their number doesn't matter; rows with a null are left out.
+    """
+    cols = [*ys, *covariates, *added]
+    whole = df.select(key, stratum, *(keep or []), *cols).dropna(subset=[stratum, *cols])
+    mid = whole.selectExpr(key, stratum, *(keep or []), *(f"{c} - avg({c}) over (partition by {stratum}) as {c}" for c in cols))
+    mid = stash(mid)
+    m, n = moments(mid, cols)
+    ny, nx = len(ys), len(covariates)
+    xx = m[ny:ny + nx, ny:ny + nx]
+    inv = np.linalg.pinv(xx, hermitian=True) if nx else np.zeros((0, 0))
+    left = lambda c, k: F.col(c) - sum((F.col(x) * float(w) for x, w in zip(covariates, inv @ m[ny:ny + nx, k], strict=True)), F.lit(0.0))
+    out = mid.select(key, stratum, *(keep or []), *covariates, *(left(c, k).alias(f"e{k}") for k, c in enumerate(ys)), *(left(c, ny + nx + k).alias(f"z{k}") for k, c in enumerate(added)))
+    strata = mid.agg(F.count_distinct(stratum)).first()[0]
+    return stash(out), {"n": n, "strata": int(strata), "rank": int(strata) + (int(np.linalg.matrix_rank(xx, hermitian=True)) if nx else 0), "inverse": inv}
+
+
+def freedman_lane(df: DataFrame, key: str, stratum: str, ys: list[str], covariates: list[str], added: list[str], reps: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Test of added terms given covariates and a fixed effect of each stratum; several outcomes are one multivariate test (trace).
+
+    Returns one row (n, strata, q, dof, sse_reduced, sse_full, partial_r2, f, reps, exceed, p) and the draws (rep, partial_r2, f):
+    residuals of the reduced model are permuted within strata. A replicate is a handful of sums, since what is added is
+    orthogonal to the reduced model.
+    """
+    r, fit = reduced_residuals(df, key, stratum, ys, covariates, added)
+    es, zs = [f"e{k}" for k in range(len(ys))], [f"z{k}" for k in range(len(added))]
+    m, n = moments(r, [*es, *zs])
+    ny = len(ys)
+    zz, ze = m[ny:, ny:], m[ny:, :ny]
+    zinv, q = np.linalg.pinv(zz, hermitian=True), int(np.linalg.matrix_rank(zz, hermitian=True))
+    sse, gain = float(np.trace(m[:ny, :ny])), float(np.trace(ze.T @ zinv @ ze))
+    dof = n - fit["rank"] - q
+    stat = lambda g, s: (g / q) / ((s - g) / dof) if q > 0 and dof > 0 and s > g else None
+    observed = stat(gain, sse)
+
+    x = permuted(r, key, [stratum], es, [*covariates, *zs], reps, seed)
+    sums = [F.sum(F.col(a) * F.col(e)).alias(f"{a}_{e}") for a in [*covariates, *zs] for e in es]
+    form = lambda names, w, e: sum((F.col(f"{a}_{e}") * F.col(f"{b}_{e}") * float(w[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)), F.lit(0.0))
+    draws = x.groupBy("rep").agg(*sums).select("rep", sum((form(zs, zinv, e) for e in es), F.lit(0.0)).alias("g"), (F.lit(sse) - sum((form(covariates, fit["inverse"], e) for e in es), F.lit(0.0))).alias("s"))
+    draws = stash(draws.select("rep", (F.col("g") / F.col("s")).alias("partial_r2"), ((F.col("g") / F.lit(float(q or 1))) / F.nullif((F.col("s") - F.col("g")) / F.lit(float(dof) if dof > 0 else None), F.lit(0.0))).alias("f")))
+    exceed = draws.where(F.col("f") >= F.lit(observed) * (1 - 1e-9)).count() if observed is not None else None
+    row = (n, fit["strata"], q, dof, sse, sse - gain, min(1.0, max(0.0, gain / sse)) if sse > 0 else 0.0, observed, reps, exceed, (1 + exceed) / (reps + 1) if exceed is not None else None)
+    form = "n bigint, strata bigint, q bigint, dof bigint, sse_reduced double, sse_full double, partial_r2 double, f double, reps bigint, exceed bigint, p double"
+    return df.sparkSession.createDataFrame([row], form), draws
+
+
+def null_summary(draws: DataFrame, value: str) -> DataFrame:
+    """(minimum, q05, median, q95, maximum, mean, sd) of a null distribution."""
+    q = lambda p: F.percentile(value, p)
+    return draws.agg(F.min(value).alias("minimum"), q(0.05).alias("q05"), q(0.5).alias("median"), q(0.95).alias("q95"), F.max(value).alias("maximum"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
+def _pseudo_f(rows: DataFrame, label: str, cols: list[str], keys: list[str]) -> DataFrame:
+    """(keys, f, r2) of centred columns: squared group sums over sizes are the variation between groups."""
+    each = rows.groupBy(*keys, label).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in cols), F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))).alias("t"))
+    between = F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0)) / F.col("n"))
+    per = each.groupBy(*keys).agg(between.alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    return per.selectExpr(*keys, "(b / (k - 1)) / ((t - b) / (n - k)) as f", "b / t as r2")
+
+
+def multivariate_permutation(df: DataFrame, key: str, label: str, cols: list[str], reps: int, seed: int) -> DataFrame:
+    """(f, r2, reps, exceed, p): pseudo-F of several columns between labels, against labels dealt out anew over all rows."""
+    mean = df.agg(*(F.avg(c).alias(f"_{c}") for c in cols))
+    mid = stash(df.select(key, label, *cols).crossJoin(F.broadcast(mean)).select(key, label, *((F.col(c) - F.col(f"_{c}")).alias(c) for c in cols)))  # one row of means
+    own = _pseudo_f(mid, label, cols, []).select("f", "r2")
+    null = _pseudo_f(permuted(mid, key, [], [label], cols, reps, seed), label, cols, ["rep"]).select(F.col("f").alias("fr"))
+    hits = null.crossJoin(F.broadcast(own.select(F.col("f").alias("fo")))).agg(F.count("*").alias("reps"), F.count_if(F.expr("fr >= fo * (1 - 1e-9)")).alias("exceed"))
+    return own.crossJoin(hits).selectExpr("f", "r2", "reps", "exceed", "(1 + exceed) / cast(reps + 1 as double) as p")  # rows of one
+
+
+def cliffs_bootstrap(df: DataFrame, key: str, group: str, value: str, a, b, reps: int, seed: int) -> DataFrame:
+    """(rep, delta): Cliff's delta of group a over b under Poisson row weights by hash."""
+    x = weighted(df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(key, group, value), key, reps, seed).where("w > 0")
+    at = x.groupBy("rep", F.col(value).alias("v")).agg(F.sum(F.when(F.col(group) == a, F.col("w")).otherwise(0)).alias("wa"), F.sum(F.when(F.col(group) == b, F.col("w")).otherwise(0)).alias("wb"))
+    at = at.selectExpr("rep", "wa", "wb", "sum(wb) over (partition by rep order by v rows unbounded preceding) - wb as below")
+    out = at.groupBy("rep").agg(F.sum("wa").alias("na"), F.sum("wb").alias("nb"), F.sum(F.expr("wa * (below + wb / 2.0d)")).alias("u"))
+    return out.selectExpr("rep", "2 * u / nullif(na * nb, 0) - 1 as delta")
+
+
+def rank_contrast(df: DataFrame, key: str, flag: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
+    """(contrast, reps, p): Spearman's rho of flagged rows less that of the others, one-sided against flags dealt out anew."""
+    own = df.select(key, F.col(flag).cast("int").alias("_f"), F.col(x).alias("_u"), F.col(y).alias("_v")).dropna()
+    diff = lambda keys: [F.max(F.when(F.col("_f") == 1, F.col("rho"))).alias("r1"), F.max(F.when(F.col("_f") == 0, F.col("rho"))).alias("r0")]  # noqa: E731, ARG005
+    seen = spearman(own, "_u", "_v", ["_f"]).agg(*diff([])).selectExpr("r1 - r0 as contrast")
+    drawn = permuted(own, key, [], ["_f"], ["_u", "_v"], reps, seed)
+    null = spearman(drawn, "_u", "_v", ["rep", "_f"]).groupBy("rep").agg(*diff(["rep"])).selectExpr("r1 - r0 as c")
+    hits = null.crossJoin(F.broadcast(seen)).groupBy("contrast").agg(F.count("*").alias("reps"), F.count_if(F.expr("c <= contrast + 1e-12")).alias("hits"))  # one observed value
+    return hits.selectExpr("contrast", "reps", "(1 + hits) / cast(reps + 1 as double) as p")
+
+
+def block_subsample(sums: DataFrame, share: float, reps: int, seed: int) -> DataFrame:
+    """(rep, mean): mean distance over pairs of blocks drawn by hash, ceil(share x blocks) of them; sums: (gi, gj, s, n), integer blocks."""
+    blocks = sums.select(F.col("gi").alias("block")).distinct()
+    total = blocks.agg(F.ceil(F.count("*") * share).alias("take"))
+    x = replicates(blocks, reps).withColumn("_u", hash_uniform(seed, F.col("rep"), F.col("block")))
+    x = x.selectExpr("rep", "block", "row_number() over (partition by rep order by _u, block) as place").crossJoin(F.broadcast(total)).where("place <= take")  # one number
+    x = stash(x.select("rep", "block"))
+    met = sums.join(x.withColumnRenamed("block", "gi"), "gi").join(x.withColumnRenamed("block", "gj"), ["rep", "gj"])
+    return met.groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
 # --- distances: PERMANOVA, exact nulls ---------------------------------------------------------------
 
 
@@ -203,17 +362,22 @@ def permutation_p(null: DataFrame, observed: DataFrame, statistic: str) -> DataF
     return x.groupBy("observed").agg(F.count("*").alias("reps"), F.count_if(F.col(statistic) >= F.col("observed") - 1e-12).alias("hits")).selectExpr("observed", "reps", "(1 + hits) / cast(reps + 1 as double) as p")
 
 
-def poisson_bootstrap(df: DataFrame, key: str, value: str, keys: list[str], reps: int, seed: int) -> DataFrame:
-    """(keys, rep, mean): bootstrap means with Poisson(1) row weights by hash: one pass, map-side sums, no resampling join."""
-    x = replicates(df, reps).withColumn("u", hash_uniform(seed, F.col("rep"), F.col(key)))
+def weighted(df: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
+    """Rows of every replicate with a Poisson(1) weight w by hash of (seed, replicate, key)."""
+    x = replicates(df, reps).withColumn("_u", hash_uniform(seed, F.col("rep"), F.col(key)))
     steps, total = [], 0.0
     for k in range(8):
         total += math.exp(-1) / math.factorial(k)
         steps.append(total)
     weight = F.lit(8)
     for k in range(7, -1, -1):
-        weight = F.when(F.col("u") < steps[k], k).otherwise(weight)
-    x = x.withColumn("w", weight)
+        weight = F.when(F.col("_u") < steps[k], k).otherwise(weight)
+    return x.withColumn("w", weight).drop("_u")
+
+
+def poisson_bootstrap(df: DataFrame, key: str, value: str, keys: list[str], reps: int, seed: int) -> DataFrame:
+    """(keys, rep, mean): bootstrap means with Poisson(1) row weights by hash: one pass, map-side sums, no resampling join."""
+    x = weighted(df, key, reps, seed)
     return x.groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
 
 

@@ -5,21 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stash
+
 
 def _by(keys: list[str]) -> str:
     return f"partition by {', '.join(keys)}" if keys else ""
 
 
+def ranks_of(counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Rank distinct values: counts (keys, value, _t rows, ...) with _rank (ties at their mean), _below (rows under the value) and _n (all rows).
+
+    No task sorts a whole group: values are dealt into ranges, counted inside each, and the
+    ranges' totals (a row for each range and key) are added up. Rows with a null value or key are left out.
+    """
+    whole = counts.dropna(subset=[*keys, value])
+    parts = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stash(whole.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_t").alias("_m"))
+    sums = sums.selectExpr(*keys, "_part", f"sum(_m) over ({_by(keys)} order by _part) - _m as _before", f"sum(_m) over ({_by(keys)}) as _n")
+    inside = dealt.selectExpr("*", f"sum(_t) over (partition by {', '.join([*keys, '_part'])} order by {value} rows unbounded preceding) - _t as _in")
+    met = inside.join(sums, [*keys, "_part"])
+    return met.selectExpr(*counts.columns, "_in + _before + (_t + 1) / 2.0d as _rank", "_in + _before as _below", "_n")
+
+
+def counted(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys, value).agg(F.count("*").alias("_t"))
+
+
+def _with_ranks(df: DataFrame, value: str, keys: list[str], column: Column, name: str) -> DataFrame:
+    # written before the join: a value that very many rows share is then split over tasks
+    ranks = stash(ranks_of(counted(df, value, keys), value, keys).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, value])), column.alias("_found")))
+    on = [df[c].eqNullSafe(ranks[f"_k{i}"]) for i, c in enumerate([*keys, value])]
+    return df.join(ranks, on, "left").select(*(df[c] for c in df.columns), F.col("_found").alias(name))
+
+
 def average_rank(df: DataFrame, value: str, keys: list[str], name: str = "rank") -> DataFrame:
-    """Ranks with ties at their mean."""
-    by = _by(keys)
-    same = f"partition by {', '.join([*keys, value])}"
-    return df.selectExpr("*", f"rank() over ({by} order by {value}) + (count(*) over ({same}) - 1) / 2.0d as {name}")
+    """Ranks with ties at their mean; null for a null value."""
+    return _with_ranks(df, value, keys, F.col("_rank"), name)
 
 
 def percentile_max_desc(df: DataFrame, value: str, keys: list[str], name: str = "pct") -> DataFrame:
-    """Share of rows at least as large (descending percentile, ties at the largest)."""
-    return df.selectExpr("*", f"count(*) over ({_by(keys)} order by {value} desc range between unbounded preceding and current row) / count(*) over ({_by(keys)}) as {name}")
+    """Share of rows at least as large (descending percentile, ties at the largest); null for a null value."""
+    return _with_ranks(df, value, keys, (F.col("_n") - F.col("_below")) / F.col("_n"), name)
 
 
 def difference(df: DataFrame, value: str, keys: list[str], order: str, lag: int = 1, name: str = "delta") -> DataFrame:
@@ -77,9 +104,12 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def pareto_front(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Rows no other row dominates (both values at least as large, one larger).
 
-    A row is on the front if its b exceeds every b at larger a, and is the largest at its own a; a
-    running maximum over sorted distinct values decides, no pairs are made.
+    A row is on the front if its b exceeds every b at larger a, and is the largest at its own a. The
+    running maximum is taken in ranges of a and carried over from range to range (a row each); no pairs are made.
     """
-    best = df.groupBy(a).agg(F.max(b).alias("_b"))
-    sky = best.selectExpr(a, "_b", f"max(_b) over (order by {a} desc rows between unbounded preceding and 1 preceding) as _above").where("_above is null or _b > _above")
-    return df.join(sky.select(F.col(a).alias("_a"), "_b"), (df[a] == F.col("_a")) & (df[b] == F.col("_b")), "left").select(*(df[c] for c in df.columns), F.col("_b").isNotNull().alias("on_front"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    best = stash(df.groupBy(a).agg(F.max(b).alias("_b")).repartitionByRange(parts, a).withColumn("_part", F.spark_partition_id()))
+    tops = best.groupBy("_part").agg(F.max("_b").alias("_m")).selectExpr("_part", "max(_m) over (order by _part desc rows between unbounded preceding and 1 preceding) as _over")
+    near = best.selectExpr(a, "_b", "_part", f"max(_b) over (partition by _part order by {a} desc rows between unbounded preceding and 1 preceding) as _above")
+    sky = stash(near.join(tops, "_part").where("greatest(_above, _over) is null or _b > greatest(_above, _over)").select(F.col(a).alias("_a"), "_b"))
+    return df.join(sky, (df[a] == F.col("_a")) & (df[b] == F.col("_b")), "left").select(*(df[c] for c in df.columns), F.col("_b").isNotNull().alias("on_front"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_context, catalog_inference, catalog_panel, catalog_partitions, catalog_relational  # noqa: F401
+from . import catalog_adjusted, catalog_context, catalog_inference, catalog_panel, catalog_partitions, catalog_relational  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -59,7 +59,7 @@ def display_projection(spark, d):
     return X.display_projection(S.affinities(_fam(spark, d)), list(range(10)))
 
 
-@query("kernel_grid", SUPPLIER_CTE + ", pt AS (SELECT balance / 1000 AS x, ln(population) AS y, wage AS v FROM sup), gr AS (SELECT CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy FROM (SELECT unnest(range(-40, 60)) AS cx), (SELECT unnest(range(-10, 80)) AS cy)), nn AS (SELECT cx, cy, v, (x - cx * 0.5) ** 2 + (y - cy * 0.5) ** 2 AS d2 FROM gr, pt)", "SELECT cx, cy, count(*) AS support, sum(exp(-d2 / 2) * v) / sum(exp(-d2 / 2)) AS value FROM nn WHERE d2 <= 2.25 GROUP BY cx, cy HAVING count(*) >= 3", "value", 3)
+@query("kernel_grid", SUPPLIER_CTE + ", pt AS (SELECT balance / 1000 AS x, ln(population) AS y, wage AS v FROM sup), gr AS (SELECT CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy FROM (SELECT unnest(range(-40, 60)) AS cx), (SELECT unnest(range(-10, 80)) AS cy)), nn AS (SELECT cx, cy, v, (x - cx * 0.5) ** 2 + (y - cy * 0.5) ** 2 AS d2 FROM gr, pt)", "SELECT cx, cy, count(*) AS support, sum(exp(-d2 / 2) * v) / sum(exp(-d2 / 2)) AS value FROM nn WHERE d2 <= 2.25 GROUP BY cx, cy HAVING count(*) >= 3", "value")
 def kernel_grid(spark, d):
     pts = B.suppliers(spark, d).select((F.col("balance") / 1000).alias("x"), F.log("population").alias("y"), F.col("wage").alias("v"))
     return X.kernel_grid(pts, 0.5, 1.0, 1.5, 3)
@@ -78,7 +78,7 @@ def merge_pairwise(spark, d):
     return X.merge_tests(B.suppliers(spark, d), "unit", "band", ["wage", "population", "orders"])[1].drop("na", "nb")
 
 
-@query("dispersion_bootstrap", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep)), mm AS (SELECT region, rep, sum(w * wage) / nullif(sum(w), 0) AS mean FROM w GROUP BY region, rep)", "SELECT CAST(rep AS INTEGER) AS rep, stddev_samp(mean) AS dispersion FROM mm GROUP BY rep", "dispersion", 3)
+@query("dispersion_bootstrap", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep)), mm AS (SELECT region, rep, sum(w * wage) / nullif(sum(w), 0) AS mean FROM w GROUP BY region, rep)", "SELECT CAST(rep AS INTEGER) AS rep, stddev_samp(mean) AS dispersion FROM mm GROUP BY rep", "dispersion")
 def dispersion_bootstrap(spark, d):
     return X.dispersion_bootstrap(B.suppliers(spark, d), "unit", "region", "wage", 99, 5)
 

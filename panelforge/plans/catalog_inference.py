@@ -75,17 +75,17 @@ def _series(spark, d):
     return B.panel(spark, d).groupBy("unit", "t").agg(F.sum("value").alias("v"))
 
 
-@query("theil_sen", _TOT, "SELECT a.unit, median((b.v - a.v) / (b.t - a.t)) AS slope FROM series a JOIN series b ON a.unit = b.unit AND a.t < b.t GROUP BY a.unit", "slope", 1)
+@query("theil_sen", _TOT, "SELECT a.unit, median((b.v - a.v) / (b.t - a.t)) AS slope FROM series a JOIN series b ON a.unit = b.unit AND a.t < b.t GROUP BY a.unit", "slope")
 def theil_sen(spark, d):
     return I.theil_sen(_series(spark, d), "unit", "t", "v")
 
 
-@query("ols_slope", _TOT, "SELECT unit, regr_slope(v, t) AS slope FROM series GROUP BY unit", "slope", 1)
+@query("ols_slope", _TOT, "SELECT unit, regr_slope(v, t) AS slope FROM series GROUP BY unit", "slope")
 def ols_slope(spark, d):
     return I.ols_slope(_series(spark, d), "unit", "t", "v")
 
 
-@query("group_dispersion", P_CTE, "SELECT t, stddev_samp(m) AS dispersion FROM (SELECT t, category, avg(value) AS m FROM panel GROUP BY ALL) GROUP BY t", "dispersion", 1)
+@query("group_dispersion", P_CTE, "SELECT t, stddev_samp(m) AS dispersion FROM (SELECT t, category, avg(value) AS m FROM panel GROUP BY ALL) GROUP BY t", "dispersion")
 def group_dispersion(spark, d):
     return I.group_dispersion(B.panel(spark, d), "t", "category", "value")
 
@@ -144,7 +144,7 @@ def strat_null_exact(spark, d):
     return I.stratified_null(s, _sizes(spark, d, "n").withColumn("m", F.ceil(F.col("n") * 0.3)))
 
 
-@query("block_loo", _PAIR, "SELECT gi AS block, (SELECT sum(s1) / 2 FROM pr) - sum(s1) + sum(CASE WHEN gi = gj THEN s1 ELSE 0 END) / 2 AS \"left\" FROM pr GROUP BY gi", "\"left\"", 3)
+@query("block_loo", _PAIR, "SELECT gi AS block, (SELECT sum(s1) / 2 FROM pr) - sum(s1) + sum(CASE WHEN gi = gj THEN s1 ELSE 0 END) / 2 AS \"left\" FROM pr GROUP BY gi", "\"left\"")
 def block_loo(spark, d):
     return I.leave_one_block_out(group_sums(B.points_e(spark, d), "label", group="g", key="i", vec="vec"))
 
@@ -181,7 +181,7 @@ def bootstrap_mean_hash(spark, d):
     return I.poisson_bootstrap(B.suppliers(spark, d), "unit", "wage", ["region"], 99, 5)
 
 
-@query("bootstrap_interval", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep)), mm AS (SELECT region, rep, sum(w * wage) / nullif(sum(w), 0) AS mean FROM w GROUP BY region, rep)", "SELECT region, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM mm GROUP BY region", "low high", 3)
+@query("bootstrap_interval", _REP + f", w AS (SELECT rep, region, wage, {_POIS} AS w FROM (SELECT rep, region, wage, {_BU} AS u FROM sup, rep)), mm AS (SELECT region, rep, sum(w * wage) / nullif(sum(w), 0) AS mean FROM w GROUP BY region, rep)", "SELECT region, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM mm GROUP BY region", "low high")
 def bootstrap_interval(spark, d):
     return I.interval(I.poisson_bootstrap(B.suppliers(spark, d), "unit", "wage", ["region"], 99, 5), "mean", ["region"])
 
@@ -431,9 +431,9 @@ def job_core_pipeline(spark, d):
     return labels.groupBy("g").agg(F.count_distinct("label").alias("classes"), F.count("*").alias("units")).join(q, "g")
 
 
-@query("job_external_validation", SUPPLIER_CTE, "SELECT band, count(*) AS n, median(wage) AS wage, median(population) AS population, sum(orders)::BIGINT AS orders FROM sup GROUP BY band", "wage population", 4)
-def job_external_validation(spark, d):
-    """Scan, strict joins, roll-up and group summaries against covariates."""
+@query("covariate_summary", SUPPLIER_CTE, "SELECT band, count(*) AS n, median(wage) AS wage, median(population) AS population, sum(orders)::BIGINT AS orders FROM sup GROUP BY band", "wage population", 4)
+def covariate_summary(spark, d):
+    """Group summaries of covariates."""
     s = B.suppliers(spark, d)
     return s.groupBy("band").agg(F.count("*").alias("n"), F.median("wage").alias("wage"), F.median("population").alias("population"), F.sum("orders").alias("orders"))
 

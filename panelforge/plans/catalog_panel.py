@@ -25,7 +25,7 @@ def panel_strict_units(spark, d):
     return P.strict_panel(B.cells(spark, d), categories=B.CATEGORIES, periods=B.PERIODS).units
 
 
-@query("panel_strict_rows", P_CTE + ", twice AS (SELECT * FROM cells UNION ALL SELECT * FROM cells WHERE unit % 37 = 0 AND t = 3), bad AS (SELECT DISTINCT unit FROM twice GROUP BY unit, category, t HAVING count(*) > 1)", "SELECT * FROM panel WHERE unit NOT IN (SELECT unit FROM bad)", "value", 2)
+@query("panel_strict_rows", P_CTE + ", twice AS (SELECT * FROM cells UNION ALL SELECT * FROM cells WHERE unit % 37 = 0 AND t = 3), bad AS (SELECT DISTINCT unit FROM twice GROUP BY unit, category, t HAVING count(*) > 1)", "SELECT * FROM panel WHERE unit NOT IN (SELECT unit FROM bad)", "value")
 def panel_strict_rows(spark, d):
     c = B.cells(spark, d)
     twice = c.union(c.where("unit % 37 = 0 and t = 3"))
@@ -52,19 +52,19 @@ def panel_shares(spark, d):
 
 
 @query("panel_residual_other", P_CTE + ", withtotal AS (SELECT * FROM panel UNION ALL SELECT unit, t, 'TOTAL', sum(value) FROM panel GROUP BY unit, t)", """SELECT unit, t, category, value FROM panel WHERE category <> 'PROMO'
-  UNION ALL SELECT unit, t, 'Other', sum(CASE WHEN category = 'TOTAL' THEN value ELSE 0 END) - sum(CASE WHEN category NOT IN ('TOTAL', 'PROMO') THEN value ELSE 0 END) FROM withtotal GROUP BY unit, t""", "value", 2)
+  UNION ALL SELECT unit, t, 'Other', sum(CASE WHEN category = 'TOTAL' THEN value ELSE 0 END) - sum(CASE WHEN category NOT IN ('TOTAL', 'PROMO') THEN value ELSE 0 END) FROM withtotal GROUP BY unit, t""", "value")
 def panel_residual_other(spark, d):
     p = B.panel(spark, d)
     total = p.groupBy("unit", "t").agg(F.sum("value").alias("value")).select("unit", "t", F.lit("TOTAL").alias("category"), "value")
     return P.with_residual(p.unionByName(total), B.SELECTED, "TOTAL")
 
 
-@query("panel_wide", P_CTE, "SELECT * FROM (PIVOT panel ON category IN ('ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD') USING sum(value) GROUP BY unit, t)", "ECONOMY LARGE MEDIUM PROMO SMALL STANDARD", 2)
+@query("panel_wide", P_CTE, "SELECT * FROM (PIVOT panel ON category IN ('ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD') USING sum(value) GROUP BY unit, t)", "ECONOMY LARGE MEDIUM PROMO SMALL STANDARD")
 def panel_wide(spark, d):
     return B.panel(spark, d).groupBy("unit", "t").pivot("category", B.CATEGORIES).agg(F.sum("value"))
 
 
-@query("panel_unpivot", P_CTE, "SELECT unit, t, category, value FROM panel", "value", 2)
+@query("panel_unpivot", P_CTE, "SELECT unit, t, category, value FROM panel", "value")
 def panel_unpivot(spark, d):
     wide = B.panel(spark, d).groupBy("unit", "t").pivot("category", B.CATEGORIES).agg(F.sum("value"))
     return wide.unpivot(["unit", "t"], B.CATEGORIES, "category", "value")

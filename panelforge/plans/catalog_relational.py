@@ -58,7 +58,7 @@ def lookup_map(spark, d):
     return T(spark, d, "part").select("p_partkey", F.element_at(m, F.col("p_type")).alias("family"))
 
 
-@query("ordered_realignment", P_CTE + ", names AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS idx FROM whole)", "SELECT idx, unit, sum(value) AS total FROM names JOIN panel USING (unit) GROUP BY ALL", "total", 2)
+@query("ordered_realignment", P_CTE + ", names AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS idx FROM whole)", "SELECT idx, unit, sum(value) AS total FROM names JOIN panel USING (unit) GROUP BY ALL", "total")
 def ordered_realignment(spark, d):
     sp = P.strict_panel(B.cells(spark, d), categories=B.CATEGORIES, periods=B.PERIODS)
     return sp.units.join(sp.panel.groupBy("unit").agg(F.sum("value").alias("total")), "unit", "left").select("idx", "unit", "total").orderBy("idx")
@@ -161,7 +161,7 @@ def dummy_encoding(spark, d):
     return R.dummies(T(spark, d, "part"), "p_partkey", "p_type", B.CATEGORIES)
 
 
-@query("tolerance_gate", "", "SELECT o_orderpriority AS k, avg(o_totalprice) AS actual, avg(o_totalprice) * CASE WHEN o_orderpriority = '1-URGENT' THEN 1.1 ELSE 1.0 END AS expected, o_orderpriority <> '1-URGENT' AS ok FROM orders GROUP BY 1", "actual expected", 3)
+@query("tolerance_gate", "", "SELECT o_orderpriority AS k, avg(o_totalprice) AS actual, avg(o_totalprice) * CASE WHEN o_orderpriority = '1-URGENT' THEN 1.1 ELSE 1.0 END AS expected, o_orderpriority <> '1-URGENT' AS ok FROM orders GROUP BY 1", "actual expected")
 def tolerance_gate(spark, d):
     a = T(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.avg("o_totalprice").alias("value"))
     return R.within_tolerance(a, a.withColumn("value", F.col("value") * F.when(F.col("k") == "1-URGENT", 1.1).otherwise(1.0)), ["k"], 1e-6)
@@ -268,12 +268,12 @@ def avg_rank_ties(spark, d):
     return W.average_rank(T(spark, d, "part"), "p_size", ["p_type"]).select("p_partkey", "rank")
 
 
-@query("lag_diff", P_CTE, "SELECT unit, t, category, value - lag(value) OVER (PARTITION BY unit, category ORDER BY t) AS delta FROM panel", "delta", 2)
+@query("lag_diff", P_CTE, "SELECT unit, t, category, value - lag(value) OVER (PARTITION BY unit, category ORDER BY t) AS delta FROM panel", "delta")
 def lag_diff(spark, d):
     return W.difference(B.panel(spark, d), "value", ["unit", "category"], "t").drop("value")
 
 
-@query("yoy_diff", P_CTE, "SELECT unit, t, category, value - lag(value, 2) OVER (PARTITION BY unit, category ORDER BY t) AS delta FROM panel", "delta", 2)
+@query("yoy_diff", P_CTE, "SELECT unit, t, category, value - lag(value, 2) OVER (PARTITION BY unit, category ORDER BY t) AS delta FROM panel", "delta")
 def yoy_diff(spark, d):
     return W.difference(B.panel(spark, d), "value", ["unit", "category"], "t", 2).drop("value")
 
@@ -348,7 +348,7 @@ def mixed_sort_ranked(spark, d):
 
 # text and geography -------------------------------------------------------------------------------------------
 
-@query("name_normalize", "", r"SELECT p_partkey, trim(regexp_replace(replace(lower('  Ёл-' || p_name || '—№' || p_brand), 'ё', 'е'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS name FROM part")
+@query("name_normalize", "", r"SELECT p_partkey, trim(regexp_replace(replace(replace(lower('  Ёл-' || p_name || '—№' || p_brand), 'ё', 'е'), '№', 'no'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS name FROM part")
 def name_normalize(spark, d):
     return T(spark, d, "part").select("p_partkey", C.normal_name(F.concat(F.lit("  Ёл-"), "p_name", F.lit("—№"), "p_brand")).alias("name"))
 
