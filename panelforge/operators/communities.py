@@ -327,20 +327,49 @@ def max_sum_seeds(points: DataFrame, k: int, first: int) -> DataFrame:
 
 def combined_clusters(points: DataFrame, seeds: DataFrame, rho: float, xi: float, rounds: int) -> DataFrame:
     """(i, label): attributed-network clusters. points: (i, vec, net): alternate assignment by rho x cosine distance of features
-    plus xi x cosine distance of network rows, and means; stops when no label changes; an empty class is an error."""
-    centres = points.join(seeds.select("label", "i"), "i").select("label", F.col("vec").alias("cv"), F.col("net").alias("cn"))
-    k, last = seeds.count(), None
-    for _ in range(rounds):
-        table = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("label", "cv", "cn"))).alias("cs")))  # k centres in one row
+    plus xi x cosine distance of network rows, and means; stops when no centre changes; an empty class is an error.
+
+    A round is one job: sums of each class and dimension are combined before the shuffle, and k centres reach the
+    driver. Labels are written once, at the end.
+    """
+    spark = points.sparkSession
+    points = stash(points.select("i", "vec", "net"))
+    rows = points.join(F.broadcast(seeds.select("label", "i")), "i").select("label", "vec", "net").collect()  # k seeds
+    centres = sorted((int(r.label), [float(x) for x in r.vec], [float(x) for x in r.net]) for r in rows)
+    k, wide = len(centres), len(centres[0][1])
+
+    def labelled() -> DataFrame:
+        table = spark.createDataFrame(centres, "label bigint, cv array<double>, cn array<double>").agg(F.array_sort(F.collect_list(F.struct("label", "cv", "cn"))).alias("cs"))
         score = lambda c: F.round(rho * cosine_distance(F.col("vec"), c["cv"]) + xi * cosine_distance(F.col("net"), c["cn"]), 9)
-        new = stash(points.crossJoin(table).select("i", "vec", "net", F.array_min(F.transform("cs", lambda c: F.struct(score(c).alias("d"), c["label"].alias("label"))))["label"].alias("label")))
-        if new.select("label").distinct().count() < k:
+        pick = F.array_min(F.transform("cs", lambda c: F.struct(score(c).alias("d"), c["label"].alias("label"))))["label"]
+        return points.crossJoin(F.broadcast(table)).select("i", "vec", "net", pick.alias("label"))  # k centres in one row
+
+    for _ in range(rounds - 1):
+        each = labelled().select("label", F.posexplode(F.concat("vec", "net")).alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
+        found: dict[int, dict[int, float]] = defaultdict(dict)
+        for r in each.collect():
+            found[r.label][r.dim] = r.x
+        if len(found) < k:
             raise ValueError("empty class")
-        same = last is not None and new.join(last.select("i", F.col("label").alias("old")), "i").where("label <> old").limit(1).count() == 0
-        if last is not None:
-            release(last)
-        last = new
+        new = [(c, [m[j] for j in range(wide)], [m[j] for j in range(wide, len(m))]) for c, m in sorted(found.items())]
+        same = all(np.allclose(x[1] + x[2], y[1] + y[2], rtol=0, atol=1e-13) for x, y in zip(new, centres, strict=True))
+        centres = new
         if same:
             break
-        centres = _mean_vector(new, ["label"], "vec", "cv").join(_mean_vector(new, ["label"], "net", "cn"), "label")
-    return settle(last.select("i", "label"), last)
+    return settle(labelled().select("i", "label"), points)
+
+
+def kmeans(points: DataFrame, k: int, restarts: int = 5, seed: int = 0) -> DataFrame:
+    """(i, label, cost): the cheapest of several k-means runs, each seeded by distance-weighted draws; labels from 1 by size, then least id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = stash(points.select("i", F.col("vec").cast("array<double>").alias("vec")))
+    data = x.select("i", array_to_vector("vec").alias("features"))
+    fits = [KMeans(k=k, seed=seed + r, maxIter=100, tol=1e-6).fit(data) for r in range(restarts)]
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    out = stash(best.transform(data).select("i", F.col("prediction").alias("c")))
+    order = out.groupBy("c").agg(F.count("*").alias("n"), F.min("i").alias("least")).collect()  # k rows
+    place = {r.c: n for n, r in enumerate(sorted(order, key=lambda r: (-r.n, r.least)), 1)}
+    name = F.element_at(F.create_map(*(F.lit(v) for kv in place.items() for v in kv)), F.col("c"))
+    return settle(out.select("i", name.cast("bigint").alias("label"), F.lit(float(best.summary.trainingCost)).alias("cost")), x, out)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import stability_class
+from ..functions.columns import euclid, stability_class
+from .windows import top_k
 
 
 def coassignment(runs: DataFrame, among: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def lofo_summary(lofo: DataFrame, whole: DataFrame) -> DataFrame:
 def core_anchors(member: DataFrame, members: DataFrame, fraction: float = 0.2) -> DataFrame:
     """(i, cls): each class's members of largest share: the top fraction, two at least, ties by id."""
     x = member.join(members, "i").where("best = cls")
-    x = x.selectExpr("i", "cls", "row_number() over (partition by cls order by best_share desc, i) as place", "count(*) over (partition by cls) as n")
+    x = x.selectExpr("i", "cls", "row_number() over (partition by cls order by round(best_share, 9) desc, i) as place", "count(*) over (partition by cls) as n")
     return x.where(F.col("place") <= F.greatest(F.lit(2), F.ceil(F.col("n") * fraction))).select("i", "cls")
 
 
@@ -95,3 +96,26 @@ def stability(individual: DataFrame, micro_size: int, sizes: DataFrame) -> DataF
     """individual (i, ref, peer, precision, jaccard), sizes (ref, n): class of each unit by fixed thresholds."""
     x = individual.join(sizes, "ref")
     return x.select("i", "ref", stability_class(F.col("peer"), F.col("precision"), F.col("jaccard"), F.col("n") < micro_size).alias("stability"))
+
+
+def select_cases(member: DataFrame, points: DataFrame) -> DataFrame:
+    """(cls, kind, i): of each class the unit nearest its median centre (core), the one of largest entropy (boundary) and of largest margin.
+
+    member: (i, margin, entropy); points: (i, cls, vec). Ties at nine digits go to the smaller id.
+    """
+    middle = points.select("cls", F.posexplode("vec").alias("dim", "x")).groupBy("cls", "dim").agg(F.median("x").alias("x"))
+    centre = middle.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("centre"))
+    x = points.join(F.broadcast(centre), "cls").join(member, "i")  # a row for each class
+    best = lambda order: F.min(F.struct(order.alias("o"), F.col("i").alias("i")))["i"]
+    wide = x.groupBy("cls").agg(best(F.round(euclid(F.col("vec"), F.col("centre")), 9)).alias("core"), best(-F.round("entropy", 9)).alias("boundary"), best(-F.round("margin", 9)).alias("margin"))
+    return wide.unpivot(["cls"], ["core", "boundary", "margin"], "kind", "i")
+
+
+def analogs(edges: DataFrame, runs: DataFrame, k: int = 3) -> DataFrame:
+    """(i, j, distance, together): each unit's k nearest graph neighbours, and the share of runs that put both in one class."""
+    two = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), "distance").union(edges.select("dst", "src", "distance"))
+    near = top_k(two, k, ["i"], "round(distance, 9), j").drop("place")
+    n = runs.agg(F.count_distinct("run").alias("runs"))
+    a, b = runs.select("run", "i", F.col("label").alias("la")), runs.select("run", F.col("i").alias("j"), F.col("label").alias("lb"))
+    met = near.join(a, "i").join(b, ["run", "j"]).groupBy("i", "j", "distance").agg(F.count_if(F.col("la") == F.col("lb")).alias("hits"))
+    return met.crossJoin(F.broadcast(n)).select("i", "j", "distance", (F.col("hits") / F.col("runs")).alias("together"))  # one number

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stash
 from .partitions import dominant_label
 
 
@@ -55,12 +56,13 @@ def scores(predictions: DataFrame) -> DataFrame:
 
 
 def cross_validate(rows: DataFrame, features: list[str], label: str, key: str, model: str = "logistic", seed: int = 0, trees: int = 60) -> DataFrame:
-    """(key, fold, truth, predicted): median imputation, scaling, class-balanced multinomial logistic or random forest per fold."""
+    """(key, fold, truth, predicted, p_truth): median imputation, scaling, class-balanced multinomial logistic or random forest per fold."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
-    rows = rows.select(key, "fold", F.col(label).cast("double").alias("_y"), *(F.col(c).cast("double").alias(c) for c in features)).persist()
+    rows = stash(rows.select(key, "fold", F.col(label).cast("double").alias("_y"), *(F.col(c).cast("double").alias(c) for c in features)))
     folds = sorted(r.fold for r in rows.select("fold").distinct().collect())
     filled = [f"{c}_i" for c in features]
     last = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", maxIter=50, regParam=0.01) if model == "logistic" else RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=3, seed=seed)
@@ -72,11 +74,23 @@ def cross_validate(rows: DataFrame, features: list[str], label: str, key: str, m
         total = n.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))
         weights = n.crossJoin(F.broadcast(total)).select("_y", (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("_w"))  # a row for each class
         fit = Pipeline(stages=steps).fit(train.join(F.broadcast(weights), "_y"))
-        got = fit.transform(rows.where(F.col("fold") == k)).select(key, "fold", F.col("_y").cast("bigint").alias("truth"), F.col("prediction").cast("bigint").alias("predicted"))
+        own = F.element_at(vector_to_array("probability"), (F.col("_y") + 1).cast("int"))
+        got = fit.transform(rows.where(F.col("fold") == k)).select(key, "fold", F.col("_y").cast("bigint").alias("truth"), F.col("prediction").cast("bigint").alias("predicted"), F.coalesce(own, F.lit(0.0)).alias("p_truth"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def log_loss(predictions: DataFrame) -> DataFrame:
+    """(n, log_loss): mean negative log of the probability given to the truth, held off zero."""
+    return predictions.agg(F.count("*").alias("n"), F.avg(-F.log(F.greatest(F.col("p_truth"), F.lit(1e-15)))).alias("log_loss"))
+
+
+def class_recall(predictions: DataFrame, least: float) -> DataFrame:
+    """(truth, n, recall, named): classes whose recall is at least ``least`` may be named."""
+    x = predictions.groupBy("truth").agg(F.count("*").alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("recall"))
+    return x.withColumn("named", F.col("recall") >= least)
+
+
 def rule_tree(rows: DataFrame, features: list[str], label: str, depth: int = 3) -> DataFrame:
     """(line, rule): a shallow decision tree as text."""
     from pyspark.ml.classification import DecisionTreeClassifier

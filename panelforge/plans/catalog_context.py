@@ -102,7 +102,7 @@ def public_text_check(spark, d):
     return X.public_text_problems(x, "p_partkey", "text", ["part"], ["promo"])
 
 
-@query("period_alignment")
+@query("period_alignment", "", "SELECT CAST(t AS INTEGER) AS t, 1.0::DOUBLE AS accuracy FROM (SELECT unnest(range(12)) AS t)")
 def period_alignment(spark, d):
     """Labels renamed by period and aligned back to the truth."""
     x = Y.truth(spark, "abrupt", 60, 12).select("t", "i", F.col("label").alias("truth")).withColumn("label", (F.col("truth") + F.col("t")) % 3 + 10)

@@ -210,12 +210,35 @@ def kmeans_lloyd_fixed(spark, d):
     return K.lloyd(pts.select("i", "vec"), seeds, 5)
 
 
-@query("max_sum_seeds")
+def _cos(a: str, b: str) -> str:
+    return f"greatest(0, least(2, list_cosine_distance({a}, {b})))"
+
+
+def _far_seeds_sql(k: int, vec: str) -> str:
+    """Given point 0, then one at a time the point of largest summed distance to those chosen."""
+    cte = f"f0 AS (SELECT CAST(0 AS BIGINT) AS label, i, {vec} AS w FROM e WHERE i = 0)"
+    for r in range(1, k):
+        total = f"SELECT e.i, {vec.replace('v[', 'e.v[') if '[' in vec else 'e.v'} AS w, round(sum({_cos(vec.replace('v[', 'e.v[') if '[' in vec else 'e.v', 'f.w')}), 9) AS s FROM e, f{r - 1} f WHERE e.i NOT IN (SELECT i FROM f{r - 1}) GROUP BY e.i, e.v"
+        cte += f", n{r} AS (SELECT {r} AS label, i, w FROM ({total}) ORDER BY s DESC, i LIMIT 1), f{r} AS MATERIALIZED (SELECT * FROM f{r - 1} UNION ALL SELECT * FROM n{r})"
+    return E_CTE + ", " + cte
+
+
+@query("max_sum_seeds", _far_seeds_sql(6, "v"), "SELECT CAST(label AS BIGINT) AS label, i FROM f5")
 def max_sum_seeds(spark, d):
     return K.max_sum_seeds(B.points_e(spark, d).select("i", "vec"), 6, 0).select("label", "i")
 
 
-@query("kefrin_fixed_iters")
+def _combined_sql(rounds: int) -> str:
+    """Assignment by half of either cosine distance, then means; the last round only assigns."""
+    near = "arg_min(c.label, (round(0.5 * " + _cos("p.a", "c.a") + " + 0.5 * " + _cos("p.b", "c.b") + ", 9), c.label))"
+    cte = _far_seeds_sql(6, "v[1:32]") + ", p AS MATERIALIZED (SELECT i, v[1:32] AS a, v[33:64] AS b, v FROM e), c0 AS MATERIALIZED (SELECT f5.label, p.a, p.b FROM f5 JOIN p USING (i))"
+    for r in range(rounds - 1):
+        cte += f", a{r} AS MATERIALIZED (SELECT p.i, p.v, {near} AS label FROM p, c{r} c GROUP BY p.i, p.v), m{r} AS (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(64)) AS dim FROM a{r}) GROUP BY ALL)"
+        cte += f", c{r + 1} AS MATERIALIZED (SELECT label, l[1:32] AS a, l[33:64] AS b FROM (SELECT label, list(x ORDER BY dim) AS l FROM m{r} GROUP BY label))"
+    return cte + f", fin AS (SELECT p.i, {near} AS label FROM p, c{rounds - 1} c GROUP BY p.i)"
+
+
+@query("kefrin_fixed_iters", _combined_sql(8), "SELECT i, CAST(label AS BIGINT) AS label FROM fin")
 def kefrin_fixed_iters(spark, d):
     """Attributed-network clustering: features are the first half of the vectors, the network rows the other half."""
     pts = B.points_e(spark, d).select("i", F.slice("vec", 1, 32).alias("vec"), F.slice("vec", 33, 32).alias("net"))
@@ -223,6 +246,12 @@ def kefrin_fixed_iters(spark, d):
     return K.combined_clusters(pts, seeds, 0.5, 0.5, 8)
 
 
+@query("kmeans_restarts")
+def kmeans_restarts(spark, d):
+    """The cheapest of several seeded k-means runs."""
+    return K.kmeans(B.points_e(spark, d), 8, 3)
+
+
 def _edges_e(spark, d):
     return G.knn_graph(B.near_e(spark, d))
 
@@ -265,10 +294,38 @@ def supra_louvain(spark, d):
     """Temporal communities: one graph over all periods with temporal edges."""
     from .catalog_panel import supra
 
-    s = supra(spark, d)
-    flat = s.select(F.lit(0).alias("g"), (F.col("t").cast("bigint") * 1_000_000 + F.col("src")).alias("src"), (F.col("t2").cast("bigint") * 1_000_000 + F.col("dst")).alias("dst"), "weight")
+    s = stash(supra(spark, d))
+    nodes = s.select(F.struct("t", F.col("src").alias("unit")).alias("node")).union(s.select(F.struct(F.col("t2").alias("t"), F.col("dst").alias("unit")))).distinct()
+    number = stash(P.numbered(nodes, "node").select(F.col("node.t").alias("t"), F.col("node.unit").alias("unit"), F.col("idx").cast("bigint").alias("idx")))
+    a, b = number.toDF("t", "src", "a"), number.toDF("t2", "dst", "b")
+    flat = s.join(a, ["t", "src"]).join(b, ["t2", "dst"]).select(F.lit(0).alias("g"), F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
     out = K.detect(flat, "louvain", 0.5)
-    return out.select(F.floor(F.col("i") / 1_000_000).cast("int").alias("t"), (F.col("i") % 1_000_000).alias("unit"), "label")
+    return out.join(number, out.i == number.idx).select("t", "unit", "label")
+
+
+@query("perturbation_runs")
+def perturbation_runs(spark, d):
+    """Communities of the temporal graph under seeded perturbation of its edges: similarity of each run to the unperturbed one in the last period, and sizes."""
+    from .catalog_panel import supra
+
+    s = stash(supra(spark, d))
+    whole = s.select("t", "src", "t2", "dst", "weight").withColumn("seed", F.lit(0))
+    for seed in range(1, 6):
+        whole = whole.unionByName(G.perturb(s, seed).select("t", "src", "t2", "dst", "weight").withColumn("seed", F.lit(seed)))
+    name = lambda t, u: F.concat_ws(":", F.lpad(F.col(t).cast("string"), 9, "0"), F.col(u).cast("string"))
+    found = stash(K.detect(whole.select(F.col("seed").alias("g"), name("t", "src").alias("src"), name("t2", "dst").alias("dst"), "weight"), "louvain", 0.5))
+    last = found.select(F.col("g").alias("seed"), F.substring_index("i", ":", 1).cast("int").alias("t"), F.substring_index("i", ":", -1).cast("bigint").alias("unit"), "label")
+    last = stash(last.join(last.agg(F.max("t").alias("t")), "t", "left_semi"))
+    ref = last.where("seed = 0").select("unit", F.col("label").alias("ref"))
+    same = Q.similarity(Q.contingency(last.where("seed > 0").join(ref, "unit").select(F.col("seed").alias("g"), "ref", F.col("label").alias("cand")))).withColumnRenamed("g", "seed")
+    return same.join(last.groupBy("seed").agg(F.count_distinct("label").alias("classes"), F.count("*").alias("units")), "seed")
+
+
+@query("perturbation_summary")
+def perturbation_summary(spark, d):
+    """Distribution of the runs' similarity to the unperturbed one."""
+    r = perturbation_runs(spark, d)
+    return r.agg(F.count("*").alias("runs"), F.avg("ari").alias("mean"), F.median("ari").alias("median"), F.stddev_samp("ari").alias("sd"), F.min("ari").alias("least"), F.max("ari").alias("most"), F.percentile("ari", 0.1).alias("q10"))
 
 
 @query("method_benchmark")
@@ -341,6 +398,18 @@ def logit_cv_rows(spark, d):
     return M.scores(M.cross_validate(_folded(spark, d), _FEATURES, "quality", "doc_id"))
 
 
+@query("log_loss_cv")
+def log_loss_cv(spark, d):
+    """Cross-validated log-loss of the logistic model."""
+    return M.log_loss(M.cross_validate(_folded(spark, d), _FEATURES, "quality", "doc_id"))
+
+
+@query("recall_gate")
+def recall_gate(spark, d):
+    """Classes that cross-validated predictions find often enough to be named."""
+    return M.class_recall(M.cross_validate(_folded(spark, d), _FEATURES, "quality", "doc_id"), 0.6)
+
+
 @query("rf_cv_rows")
 def rf_cv_rows(spark, d):
     return M.scores(M.cross_validate(M.stratified_folds(_doc_rows(spark, d), "quality", "doc_id", 4), _FEATURES, "quality", "doc_id", "forest", trees=20))

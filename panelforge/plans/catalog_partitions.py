@@ -271,43 +271,25 @@ def icvi_undefined(spark, d):
 
 # consensus ------------------------------------------------------------------------------------------------------
 
-_CO = RUNS_CTE + ", co AS MATERIALIZED (SELECT a.family, a.i, b.i AS j, count(*) / 3 AS p FROM runs a JOIN runs b ON a.run = b.run AND a.label = b.label AND a.i < b.i JOIN e x ON x.i = a.i AND x.label = 3 JOIN e y ON y.i = b.i AND y.label = 3 GROUP BY ALL)"
+_CO = RUNS_CTE + ", co AS MATERIALIZED (SELECT a.family, a.i, b.i AS j, count(*) / 3 AS p FROM runs a JOIN runs b ON a.run = b.run AND a.label = b.label AND a.i < b.i GROUP BY ALL)"
 
 
 def _co(spark, d):
-    return S.coassignment(B.runs_e(spark, d), B.points_e(spark, d).where("label = 3").select("i"))
+    return S.coassignment(B.runs_e(spark, d), B.points_e(spark, d).select("i"))
 
 
 @query("coassignment_pairs", _CO, "SELECT * FROM co", "p")
 def coassignment_pairs(spark, d):
-    """Co-assignment among the members of one profile."""
+    """Co-assignment of all pairs of units, within and across profiles."""
     return _co(spark, d)
 
 
 @query("family_balanced_consensus", _CO, "SELECT i, j, sum(p) / 4 AS p FROM co GROUP BY i, j", "p")
 def family_balanced_consensus(spark, d):
+    """The consensus over all units, each family with equal weight."""
     return S.balanced_consensus(_co(spark, d), B.FAMILIES)
 
 
-# the same over all units: the whole co-assignment matrix and its consensus
-_CO_ALL = RUNS_CTE + ", co AS MATERIALIZED (SELECT a.family, a.i, b.i AS j, count(*) / 3 AS p FROM runs a JOIN runs b ON a.run = b.run AND a.label = b.label AND a.i < b.i GROUP BY ALL)"
-
-
-def _co_all(spark, d):
-    return S.coassignment(B.runs_e(spark, d), B.points_e(spark, d).select("i"))
-
-
-@query("coassignment_pairs_all", _CO_ALL, "SELECT * FROM co", "p")
-def coassignment_pairs_all(spark, d):
-    """Co-assignment of all pairs of units, within and across profiles."""
-    return _co_all(spark, d)
-
-
-@query("family_balanced_consensus_all", _CO_ALL, "SELECT i, j, sum(p) / 4 AS p FROM co GROUP BY i, j", "p")
-def family_balanced_consensus_all(spark, d):
-    return S.balanced_consensus(_co_all(spark, d), B.FAMILIES)
-
-
 # affinity straight from the definition: mean co-assignment with the other members of a class
 _AFF = RUNS_CTE + """, fa AS MATERIALIZED (SELECT a.family, a.i, b.cls, sum((a.label = b.label)::INT) / count(*) AS affinity FROM runs a JOIN (SELECT runs.*, e.label AS cls FROM runs JOIN e USING (i)) b ON a.run = b.run AND a.i <> b.i GROUP BY ALL),
  af AS MATERIALIZED (SELECT i, cls, avg(affinity) AS affinity FROM fa GROUP BY ALL), sh AS MATERIALIZED (SELECT *, affinity / sum(affinity) OVER (PARTITION BY i) AS share, row_number() OVER (PARTITION BY i ORDER BY affinity DESC, cls) AS place FROM af),
@@ -365,18 +347,51 @@ def lofo_summary(spark, d):
     return S.lofo_summary(S.leave_one_family_out(f), S.membership(S.affinities(f))).select("omitted", "n")
 
 
-@query("core_anchors")
-def core_anchors(spark, d):
-    """Top fifth of each class by share (ties in floating point make the ids engine-bound, so rows only)."""
+_ANCHORS = _AFF + """, rd AS (SELECT i, cls, round(affinity, 9) AS affinity, share FROM sh), tp AS (SELECT i, arg_min(cls, (-affinity, cls)) AS best, arg_min(share, (-affinity, cls)) AS best_share FROM rd GROUP BY i),
+ an AS MATERIALIZED (SELECT i, cls FROM (SELECT tp.i, e.label AS cls, row_number() OVER (PARTITION BY e.label ORDER BY round(best_share, 9) DESC, tp.i) AS place, count(*) OVER (PARTITION BY e.label) AS n FROM tp JOIN e ON e.i = tp.i AND e.label = tp.best) WHERE place <= greatest(2, ceil(n * 0.2)))"""
+
+
+def _anchors(spark, d):
     f = S.affinities(_fam(spark, d)).withColumn("affinity", F.round("affinity", 9))
     return S.core_anchors(S.membership(f), _members(spark, d))
 
 
-@query("anchor_affinity")
+@query("core_anchors", _ANCHORS, "SELECT i, cls FROM an")
+def core_anchors(spark, d):
+    """Top fifth of each class by share, ties at nine digits by id."""
+    return _anchors(spark, d)
+
+
+_TO_ANCHORS = _ANCHORS + """, pa AS (SELECT a.family, a.i, b.cls, sum((a.label = b.label AND a.i <> b.i)::INT) AS hit, count(*) FILTER (a.i <> b.i) AS n FROM runs a JOIN (SELECT runs.run, runs.i, runs.label, an.cls FROM runs JOIN an USING (i)) b ON a.run = b.run GROUP BY ALL),
+ fx AS (SELECT i, cls, avg(CASE WHEN n > 0 THEN hit / n ELSE 0.0 END) AS affinity FROM pa GROUP BY i, cls)"""
+
+
+@query("anchor_affinity", _TO_ANCHORS, "SELECT i, cls, affinity, affinity / nullif(sum(affinity) OVER (PARTITION BY i), 0) AS share FROM fx", "affinity share")
 def anchor_affinity(spark, d):
     """Affinities to the anchors of each class only."""
-    anchors = core_anchors(spark, d)
-    return S.affinities(S.family_affinities(B.runs_e(spark, d), anchors))
+    return S.affinities(S.family_affinities(B.runs_e(spark, d), _anchors(spark, d)))
+
+
+_CASES = _AFF + """, mg AS (SELECT mb.*, best_share - second_share AS margin FROM mb),
+ md AS (SELECT label, dim, median(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(64)) AS dim FROM e) GROUP BY ALL), ce AS (SELECT label, list(x ORDER BY dim) AS c FROM md GROUP BY label),
+ cs AS (SELECT e.label AS cls, arg_min(e.i, (round(list_distance(v, c), 9), e.i)) AS core, arg_min(e.i, (-round(entropy, 9), e.i)) AS boundary, arg_min(e.i, (-round(margin, 9), e.i)) AS margin FROM e JOIN ce USING (label) JOIN mg ON mg.i = e.i GROUP BY e.label)"""
+
+
+@query("case_selection", _CASES, "SELECT cls, 'core' AS kind, core AS i FROM cs UNION ALL SELECT cls, 'boundary', boundary FROM cs UNION ALL SELECT cls, 'margin', margin FROM cs")
+def case_selection(spark, d):
+    """The unit nearest its class's median centre, the one of largest entropy and the one of largest margin."""
+    m = S.membership(S.affinities(_fam(spark, d))).select("i", "margin", "entropy")
+    return S.select_cases(m, B.points_e(spark, d).select("i", F.col("label").alias("cls"), "vec"))
+
+
+_ANALOG = GRAPH_E_CTE + """, runs AS (SELECT run, i, CAST((v[run*3+1] > 0)::INT * 4 + (v[run*3+2] > 0)::INT * 2 + (v[run*3+3] > 0)::INT AS BIGINT) AS label FROM e, (SELECT CAST(unnest(range(12)) AS INTEGER) AS run)),
+ bw AS (SELECT src AS i, dst AS j, distance FROM edges UNION ALL SELECT dst, src, distance FROM edges), n3 AS (SELECT i, j, distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(distance, 9), j) AS p FROM bw) WHERE p <= 3)"""
+
+
+@query("network_analogs", _ANALOG, "SELECT n3.i, n3.j, distance, avg((a.label = b.label)::INT) AS together FROM n3 JOIN runs a ON a.i = n3.i JOIN runs b ON b.i = n3.j AND b.run = a.run GROUP BY ALL", "distance together")
+def network_analogs(spark, d):
+    """Each unit's nearest graph neighbours with the share of runs that put both in one class."""
+    return S.analogs(G.knn_graph(B.near_e(spark, d)), B.runs_e(spark, d))
 
 
 @query("stability_state", _INDIV, """SELECT i, ref, CASE WHEN (SELECT count(*) FROM e z WHERE z.label = ind.ref) < 45 THEN 'unresolved' WHEN peer >= 0.12 AND precision >= 0.12 THEN 'over' ELSE 'under' END AS state FROM ind""")

@@ -71,7 +71,7 @@ def test_consensus_covers_all_pairs_of_units(spark):
     for (_, i, j), n in met.items():
         both[i, j] = both.get((i, j), 0) + n / each / 4
     found = catalog.queries()
-    got = {(r.family, r.i, r.j): r.p for r in found["coassignment_pairs_all"](spark, SF).collect()}
+    got = {(r.family, r.i, r.j): r.p for r in found["coassignment_pairs"](spark, SF).collect()}
     assert got.keys() == met.keys() and all(close(got[k], n / each) for k, n in met.items())
-    got = {(r.i, r.j): r.p for r in found["family_balanced_consensus_all"](spark, SF).collect()}
+    got = {(r.i, r.j): r.p for r in found["family_balanced_consensus"](spark, SF).collect()}
     assert got.keys() == both.keys() and all(close(got[k], p) for k, p in both.items())
