@@ -124,3 +124,67 @@ def test_switch_state(spark, tmp_path):
     got = {r.user_id: (r.events, r.switches) for r in spark.table("switched").collect()}
     want = table.selectExpr("user_id", "event_type <> lag(event_type) over (partition by user_id order by ts, event_id) as s").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("s").alias("s"))
     assert got == {r.user_id: (r.n, r.s) for r in want.collect()}
+
+
+def test_matrix_files(spark, tmp_path):
+    import numpy as np
+
+    from panelforge.sources import matrices
+
+    m = np.arange(12.0).reshape(4, 3)
+    matrices.write_matrices(str(tmp_path / "m.npy"), m=m)
+    matrices.write_matrices(str(tmp_path / "m.npz"), m=m, other=m + 1)
+    got = sorted((r.row, r["values"]) for r in matrices.npy_rows(spark, f"file://{tmp_path}/m.npy").collect())
+    assert got == [(k, m[k].tolist()) for k in range(4)]
+    assert matrices.npz_slice_mean(spark, f"file://{tmp_path}/m.npz", "other", [0, 2], [1, 2]).first() == (float((m + 1)[np.ix_([0, 2], [1, 2])].mean()), 4)
+    matrices.write_matrices(str(tmp_path / "labels.npy"), x=np.array([1, 2, 3, 4, 5, 6], np.int32))
+    assert sorted(tuple(r) for r in matrices.npy_last_labels(spark, f"file://{tmp_path}/labels.npy", 2, 3).collect()) == [(0, 4), (1, 5), (2, 6)]
+    with pytest.raises(Exception, match="reshape"):
+        matrices.npy_last_labels(spark, f"file://{tmp_path}/labels.npy", 2, 4).collect()
+
+
+def test_workbook_keeps_codes(spark, tmp_path):
+    import zipfile
+
+    from panelforge.sources import matrices
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>code</t></si><si><t>name</t></si><si><t>007</t></si><si><r><t>Аб</t></r><r><t>в</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c><c r="C2" t="s"><v>3</v></c></row>'
+                   '<row><c r="A3" t="inlineStr"><is><t>01-2</t></is></c></row><row><c r="C4"><v>5</v></c></row></sheetData></worksheet>')
+    got = [tuple(r) for r in matrices.workbook(spark, f"file://{tmp_path}/d.xlsx", ["name", "code"]).collect()]
+    assert got == [("Абв", "007"), (None, "01-2"), ("5", None)]
+    with pytest.raises(Exception, match="missing columns"):
+        matrices.workbook(spark, f"file://{tmp_path}/d.xlsx", ["region"]).collect()
+
+
+def test_graph_bundle_and_adjacency(spark, tmp_path):
+    from panelforge.sources import matrices
+
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 1.0), (3, 3, 2.0)], "src bigint, dst bigint, weight double")
+    nodes = spark.range(1, 4).withColumnRenamed("id", "node")
+    mark = matrices.write_graph(nodes, edges, f"file://{tmp_path}/g")
+    assert sorted(matrices.read_graph(spark, f"file://{tmp_path}/g", mark)[1].collect()) == sorted(edges.collect())
+    with pytest.raises(ValueError, match="digest"):
+        matrices.read_graph(spark, f"file://{tmp_path}/g", "other")
+    edges.limit(1).write.mode("overwrite").parquet(f"file://{tmp_path}/g/edges")
+    with pytest.raises(ValueError, match="digest"):
+        matrices.read_graph(spark, f"file://{tmp_path}/g")
+    assert sorted(matrices.from_adjacency(matrices.to_adjacency(edges)).collect()) == sorted(edges.collect())
+
+
+def test_command_line_runs_and_verifies(spark, tmp_path, capsys):
+    from panelforge import __main__ as cli
+
+    out = str(tmp_path)
+    assert cli.main(["run", "group_size", "--data", SF, "--out", out]) == 0
+    assert cli.main(["verify", out]) == 0
+    with pytest.raises(FileExistsError):
+        cli.run(spark, SF, out, ["group_size"])
+    cli.run(spark, SF, out, ["group_size"], force=True)
+    spark.range(3).write.mode("overwrite").parquet(f"file://{out}/group_size/table")
+    assert cli.verify(spark, out) == ["group_size"]
+    assert cli.main(["inspect", "nation", "--data", SF]) == 0 and "n_nationkey" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="unknown"):
+        cli.run(spark, SF, out, ["nothing"])
