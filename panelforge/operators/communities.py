@@ -9,14 +9,16 @@ the smaller label. Geometric iterations (Lloyd, combined distance) are DataFrame
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import release, settle, stash
-from ..functions.columns import cosine_distance, euclid
+from ..functions.columns import euclid
 
 Graph = list[dict[int, float]]
 
@@ -158,10 +160,16 @@ def greedy_modularity(g: Graph, resolution: float = 1.0) -> list[int]:
         links[a].pop(b, None)
         strength[a] += strength[b]
         alive[b] = False
-        member = [a if m == b else m for m in member]
+        member[b] = a
         for c in links[a]:
             if c != a and alive[c]:
                 heapq.heappush(heap, (-value(*sorted((a, c))), *sorted((a, c))))
+    for i in range(len(member)):
+        root = i
+        while member[root] != root:
+            root = member[root]
+        while member[i] != root:
+            member[i], i = root, member[i]
     return member
 
 
@@ -313,50 +321,92 @@ def _nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     return points.crossJoin(table).select("i", "vec", pick.alias("label"))
 
 
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """An array column as rows of a matrix; every row has the same length."""
+    col = batch.column(batch.schema.get_field_index(name))
+    return np.asarray(col.flatten(), float).reshape(len(col), -1)
+
+
+def _cosines(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """1 - cosine of each row with each centre, clipped to [0, 2]; zero vectors are at distance 1."""
+    scale = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(centres, axis=1)[None, :]
+    return np.where(scale > 0, np.clip(1 - x @ centres.T / np.where(scale > 0, scale, 1), 0, 2), 1.0)
+
+
 def max_sum_seeds(points: DataFrame, k: int, first: int) -> DataFrame:
-    """(label, i, vec): a given first point, then the point with the largest summed distance to the chosen ones; k small queries."""
-    chosen = [first]
-    rows = points.where(F.col("i") == first).select("i", "vec").collect()
-    for _ in range(k - 1):
-        total = sum((cosine_distance(F.col("vec"), F.array(*map(F.lit, map(float, r.vec)))) for r in rows), F.lit(0.0))
-        r = points.where(~F.col("i").isin(chosen)).withColumn("s", F.round(total, 9)).orderBy(F.desc("s"), "i").select("i", "vec").first()
-        chosen.append(r.i)
-        rows.append(r)
-    return points.sparkSession.createDataFrame([(k, r.i, list(map(float, r.vec))) for k, r in enumerate(rows)], "label bigint, i bigint, vec array<double>")
+    """(label, i, vec): a given first point, then the point with the largest summed distance to the chosen ones.
+
+    Each choice is one pass; a task sends its own best point only. Ties at nine digits go to the smaller id.
+    """
+    points = points.select("i", F.col("vec").cast("array<double>").alias("vec"))
+    rows = [(int(r.i), list(r.vec)) for r in points.where(F.col("i") == first).limit(1).collect()]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = None
+        taken, centres = [i for i, _ in rows], np.array([v for _, v in rows], float)
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), _matrix(b, "vec")
+            total = np.round(_cosines(x, centres).sum(axis=1), 9)
+            total[np.isin(ids, taken)] = -1
+            for at in np.flatnonzero(total == total.max(initial=-1)):
+                if total[at] >= 0 and (top is None or (-total[at], ids[at]) < (-top[0], top[1])):
+                    top = (float(total[at]), int(ids[at]), x[at].tolist())
+        if top is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([top[0]]), pa.array([top[1]]), pa.array([top[2]], pa.list_(pa.float64()))], ["s", "i", "vec"])
+
+    while len(rows) < k:
+        r = points.mapInArrow(best, "s double, i bigint, vec array<double>").orderBy(F.desc("s"), "i").first()
+        if r is None:
+            break
+        rows.append((int(r.i), list(r.vec)))
+    return points.sparkSession.createDataFrame([(c, i, v) for c, (i, v) in enumerate(rows)], "label bigint, i bigint, vec array<double>")
 
 
 def combined_clusters(points: DataFrame, seeds: DataFrame, rho: float, xi: float, rounds: int) -> DataFrame:
     """(i, label): attributed-network clusters. points: (i, vec, net): alternate assignment by rho x cosine distance of features
     plus xi x cosine distance of network rows, and means; stops when no centre changes; an empty class is an error.
 
-    A round is one job: sums of each class and dimension are combined before the shuffle, and k centres reach the
-    driver. Labels are written once, at the end.
+    A round is one job: a task sends the sums of each class, and k centres reach the driver. Distances are
+    compared at nine digits, ties go to the smaller label. Labels are written once, at the end.
     """
-    spark = points.sparkSession
-    points = stash(points.select("i", "vec", "net"))
+    points = stash(points.select("i", F.col("vec").cast("array<double>").alias("vec"), F.col("net").cast("array<double>").alias("net")))
     rows = points.join(F.broadcast(seeds.select("label", "i")), "i").select("label", "vec", "net").collect()  # k seeds
-    centres = sorted((int(r.label), [float(x) for x in r.vec], [float(x) for x in r.net]) for r in rows)
-    k, wide = len(centres), len(centres[0][1])
-
-    def labelled() -> DataFrame:
-        table = spark.createDataFrame(centres, "label bigint, cv array<double>, cn array<double>").agg(F.array_sort(F.collect_list(F.struct("label", "cv", "cn"))).alias("cs"))
-        score = lambda c: F.round(rho * cosine_distance(F.col("vec"), c["cv"]) + xi * cosine_distance(F.col("net"), c["cn"]), 9)
-        pick = F.array_min(F.transform("cs", lambda c: F.struct(score(c).alias("d"), c["label"].alias("label"))))["label"]
-        return points.crossJoin(F.broadcast(table)).select("i", "vec", "net", pick.alias("label"))  # k centres in one row
+    centres = sorted((int(r.label), np.array(r.vec), np.array(r.net)) for r in rows)
+    names, own = np.array([c for c, _, _ in centres]), [np.array([c[1] for c in centres]), np.array([c[2] for c in centres])]
+
+    def nearest(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = _matrix(b, "vec"), _matrix(b, "net")
+        return np.round(rho * _cosines(x, own[0]) + xi * _cosines(y, own[1]), 9).argmin(axis=1), x, y
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(names), np.int64), None
+        for b in batches:
+            at, x, y = nearest(b)
+            both = np.hstack((x, y))
+            total = np.zeros((len(names), both.shape[1])) if total is None else total
+            np.add.at(total, at, both)
+            n += np.bincount(at, minlength=len(names))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(n), pa.array(list(total), pa.list_(pa.float64()))], ["c", "n", "s"])
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[nearest(b)[0]])], ["i", "label"])
 
     for _ in range(rounds - 1):
-        each = labelled().select("label", F.posexplode(F.concat("vec", "net")).alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
-        found: dict[int, dict[int, float]] = defaultdict(dict)
-        for r in each.collect():
-            found[r.label][r.dim] = r.x
-        if len(found) < k:
-            raise ValueError("empty class")
-        new = [(c, [m[j] for j in range(wide)], [m[j] for j in range(wide, len(m))]) for c, m in sorted(found.items())]
-        same = all(np.allclose(x[1] + x[2], y[1] + y[2], rtol=0, atol=1e-13) for x, y in zip(new, centres, strict=True))
-        centres = new
+        parts = points.mapInArrow(sums, "c bigint, n bigint, s array<double>")
+        each = parts.select("c", "n", F.posexplode("s").alias("dim", "x")).groupBy("c", "dim").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()  # k rows of a point's length
+        total = np.zeros((len(names), own[0].shape[1] + own[1].shape[1]))
+        for r in each:
+            if not r.n:
+                raise ValueError("empty class")
+            total[r.c, r.dim] = r.x / r.n
+        new = [total[:, :own[0].shape[1]], total[:, own[0].shape[1]:]]
+        same = all(np.allclose(a, b, rtol=0, atol=1e-13) for a, b in zip(new, own, strict=True))
+        own = new
         if same:
             break
-    return settle(labelled().select("i", "label"), points)
+    return settle(points.mapInArrow(labels, f"i {dict(points.dtypes)['i']}, label bigint"), points)
 
 
 def kmeans(points: DataFrame, k: int, restarts: int = 5, seed: int = 0) -> DataFrame:

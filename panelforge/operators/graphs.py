@@ -101,7 +101,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def node_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(g, i, degree, strength, component) of all nodes (g, i); an isolate is its own component."""
     key = lambda a: F.struct(F.col("g").alias("g"), F.col(a).alias("i"))
-    comp = components(edges.select(key("src").alias("a"), key("dst").alias("b"))).select(F.col("node.g").alias("g"), F.col("node.i").alias("i"), F.col("comp.i").alias("component"))
+    comp = components(edges.select(key("src").alias("a"), key("dst").alias("b")), few=200_000).select(F.col("node.g").alias("g"), F.col("node.i").alias("i"), F.col("comp.i").alias("component"))
     out = nodes.join(degrees(edges), ["g", "i"], "left").join(comp, ["g", "i"], "left")
     return out.select("g", "i", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce("component", "i").alias("component"))
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import release, stash
+
 BLOCK = 1024
 
 
@@ -146,11 +148,11 @@ def order_statistics(points: DataFrame, ranks: DataFrame, *, group: str, key: st
 
 def median_pair_distance(points: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     """(group, distance): median distance over the pairs of a group (mean of the middle two); zero is an error."""
-    points = points.persist()
+    points = stash(points.select(group, key, vec))
     n = points.groupBy(group).agg(F.count("*").alias("n")).withColumn("pairs", F.expr("cast(n * (n - 1) / 2 as bigint)"))
     ranks = n.select(group, F.explode(F.expr("array(floor((pairs + 1) / 2), floor((pairs + 2) / 2))")).alias("rank")).where("rank > 0")
     mid = order_statistics(points, ranks, group=group, key=key, vec=vec).groupBy(group).agg(F.avg("distance").alias("distance"))
-    points.unpersist()
+    release(points)
     return mid.withColumn("distance", F.when(F.col("distance") > 0, F.col("distance")).otherwise(F.raise_error(F.lit("median pairwise distance is zero")).cast("double")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import stash
 from ..functions import columns as C
 from ..operators import graphs as G
 from ..operators import panel as P
@@ -211,7 +212,7 @@ _EPS = FEATURE_CTE + ", eps AS (SELECT g, d AS eps FROM (SELECT g, d, row_number
 
 
 def _epsilon(spark, d):
-    pts = B.points_p(spark, d).persist()
+    pts = B.points_p(spark, d)
     return G.epsilon_graph(pts, knn(pts, B.K, group="g", key="i", vec="vec"), 20, key="i", vec="vec")
 
 
@@ -247,7 +248,7 @@ _SUPRA = FEATURE_CTE + ", supra AS (SELECT g AS t, src, g AS t2, dst, weight, 'i
 
 
 def supra(spark, d, omega: float = 2.0):
-    pts = B.points_p(spark, d).persist()
+    pts = B.points_p(spark, d)
     return G.supra_graph(G.knn_graph(knn(pts, B.K, group="g", key="i", vec="vec")), pts.select("g", "i"), omega)
 
 
@@ -275,7 +276,7 @@ def edge_perturb_hash(spark, d):
 
 
 def _graph_p(spark, d):
-    pts = B.points_p(spark, d).persist()
+    pts = B.points_p(spark, d)
     return G.knn_graph(knn(pts, B.K, group="g", key="i", vec="vec")), pts
 
 
@@ -317,7 +318,7 @@ def topology_distribution(spark, d):
 
 @query("edge_jaccard", FEATURE_CTE, "SELECT a.g, count(*) FILTER (b.src IS NOT NULL) AS common, count(*) AS either, count(*) FILTER (b.src IS NOT NULL) / count(*) AS jaccard FROM (SELECT DISTINCT g, least(i, j) AS src, greatest(i, j) AS dst FROM near) a LEFT JOIN edges b USING (g, src, dst) GROUP BY a.g", "jaccard")
 def edge_jaccard(spark, d):
-    near = B.near_p(spark, d).persist()
+    near = stash(B.near_p(spark, d))
     return G.edge_jaccard(G.knn_graph(near), G.knn_graph(near, mutual=False))
 
 
