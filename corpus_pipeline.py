@@ -39,15 +39,6 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_good(docs, model)
 
 
-def _one_row_each(docs: DataFrame, sha: str) -> DataFrame:
-    """One row of each (id, text hash): the one whose JSON form comes first. Only rows that share both are moved."""
-    again = stash(docs.groupBy("doc_id", sha).agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("doc_id", sha).alias("h")))
-    doubt = maybe_in(again, "h")(F.xxhash64("doc_id", sha))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = docs.where(doubt).groupBy("doc_id", sha).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    return docs.where(~doubt).unionByName(first)
-
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, one row stays: the largest doc_id's, and of its rows the first in JSON form.
 
@@ -56,12 +47,15 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     very long texts are compared whole; an empty table gives an empty result.
     """
     gone = stash(block_naming_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct())
+    # only rows of an id that goes or is repeated are hashed and moved
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
+    ids = stash(gone.select("_id").union(again).distinct())
+    doubt = maybe_in(ids.select(F.xxhash64(F.col("_id").cast("bigint")).alias("h")), "h")(F.xxhash64(F.col("doc_id").cast("bigint")))
     sha = _unused(docs, "text_hash")
-    keyed = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
-    doubt = maybe_in(stash(gone.select(F.xxhash64("_id", "_gone").alias("h"))), "h")(F.xxhash64(F.col("doc_id").cast("bigint"), F.col(sha)))
-    near = keyed.where(doubt)
+    near = docs.where(doubt).withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
     kept = near.join(gone, near.doc_id.eqNullSafe(gone._id) & (near[sha] == gone._gone), "left_anti")
-    return _one_row_each(keyed.where(~doubt).unionByName(kept), sha).drop(sha)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.where(~doubt).unionByName(kept.groupBy("doc_id", sha).agg(F.min_by(row, F.to_json(row)).alias(sha + "_")).select(f"{sha}_.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
