@@ -287,7 +287,7 @@ def rank_contrast(df: DataFrame, key: str, flag: str, x: str, y: str, reps: int,
     drawn = permuted(own, key, [], ["_f"], ["_u", "_v"], reps, seed)
     null = spearman(drawn, "_u", "_v", ["rep", "_f"]).groupBy("rep").agg(*diff(["rep"])).selectExpr("r1 - r0 as c")
     hits = null.crossJoin(F.broadcast(seen)).groupBy("contrast").agg(F.count("*").alias("reps"), F.count_if(F.expr("c <= contrast + 1e-12")).alias("hits"))  # one observed value
-    return hits.selectExpr("contrast", "reps", "(1 + hits) / cast(reps + 1 as double) as p")
+    return hits.selectExpr("contrast", "reps", "case when contrast is not null then (1 + hits) / cast(reps + 1 as double) end as p")
 
 
 def block_subsample(sums: DataFrame, share: float, reps: int, seed: int) -> DataFrame:

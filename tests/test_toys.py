@@ -349,3 +349,42 @@ def test_components_split_a_hub(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_adjusted_test_equals_dense_least_squares(spark):
+    """Partial R2, F and the permutation null against plain matrices with a dummy of each region; a signal is found, noise is not."""
+    rng = np.random.default_rng(33)
+    n = 180
+    region, profile = rng.integers(0, 6, n), rng.integers(0, 3, n)
+    x = rng.normal(10, 1, n)
+    for effect in (1.5, 0.0):
+        y = 0.4 * x + 0.2 * region + effect * (profile == 1) - effect * (profile == 2) + rng.normal(0, 0.5, n)
+        rows = [(i, int(region[i]), float(x[i]), float(y[i]), float(profile[i] == 1), float(profile[i] == 2)) for i in range(n)]
+        df = frame(spark, rows, "unit bigint, region bigint, x double, y double, p1 double, p2 double")
+        row, draws = inference.freedman_lane(df, "unit", "region", ["y"], ["x"], ["p1", "p2"], 99, 5)
+        r = row.first()
+        reduced = np.column_stack([np.eye(6)[region], x])
+        full = np.column_stack([reduced, profile == 1, profile == 2])
+        rss = lambda a, v: float(((v - a @ np.linalg.lstsq(a, v, rcond=None)[0]) ** 2).sum())
+        a, b = rss(reduced, y), rss(full, y)
+        assert (r.n, r.strata, r.q, r.dof) == (n, 6, 2, n - 9)
+        assert math.isclose(r.partial_r2, (a - b) / a, rel_tol=1e-9) and math.isclose(r.f, (a - b) / 2 / (b / (n - 9)), rel_tol=1e-8)
+        assert (r.partial_r2 > 0.5 and r.p <= 0.02) if effect else (r.partial_r2 < 0.06 and r.p > 0.02)
+        residual = y - reduced @ np.linalg.lstsq(reduced, y, rcond=None)[0]
+        dealt = inference.permuted(frame(spark, [(i, int(region[i]), float(residual[i])) for i in range(n)], "unit bigint, region bigint, e double"), "unit", ["region"], ["e"], [], 2, 5)
+        for rep in (1, 2):
+            e = dict(sorted((q.unit, q.e) for q in dealt.where(F.col("rep") == rep).collect()))
+            v = np.array([e[i] for i in range(n)])
+            assert all(sorted(v[region == k]) == sorted(residual[region == k]) for k in range(6)) and not np.array_equal(v, residual)
+            s, t = rss(reduced, v), rss(full, v)
+            assert math.isclose(draws.where(F.col("rep") == rep).first().partial_r2, (s - t) / s, rel_tol=1e-7)
+
+
+def test_united_components_equal_the_star_steps(spark):
+    from panelforge import durable
+
+    rng = random.Random(12)
+    rows = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    e = frame(spark, rows, "a bigint, b bigint").selectExpr("struct(a % 3 as g, a as i) as a", "struct(a % 3 as g, b as i) as b")
+    plain = lambda df: sorted((tuple(r.node), tuple(r.comp)) for r in df.collect())
+    assert plain(durable.components(e)) == plain(durable.components(e, few=10**6))
