@@ -47,3 +47,37 @@ WITH words AS (
 )
 SELECT doc_id, min(k) AS start_word, max(k) + 50 AS end_word, max(k) + 50 - min(k) AS n_words FROM spans GROUP BY doc_id, span
 """
+
+_FIT = "((host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '/{p}'))"
+_RULE_CASE = "CASE " + " ".join(f"WHEN {_FIT.format(h=r.partition('/')[0], p=r.partition('/')[2])} THEN '{r}'" for r in ("example.net/en/", "example.com/de/", "org/fr/", "net/")) + " END"
+
+#: Walks along links are followed one by one, 60 steps at most: enough where links don't go round.
+LINK_GRAPH = rf"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), judged AS (
+  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM (SELECT *, {_RULE_CASE} AS rule FROM parts)
+), hosts AS (
+  SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad FROM judged WHERE host <> '' GROUP BY host
+), named AS (
+  SELECT host AS src, lower(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s<>]+)', 1))) AS dst FROM judged WHERE host <> ''
+), links AS (
+  SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM named WHERE src <> dst GROUP BY src, dst
+  UNION ALL SELECT a.host, arg_max(b.host, length(b.host)), 1.0 FROM hosts a JOIN hosts b ON suffix(a.host, '.' || b.host) GROUP BY a.host
+), edges AS (
+  SELECT 1 AS kind, src, dst, w FROM links UNION ALL SELECT -1, dst, src, w FROM links
+), moves AS (
+  SELECT kind, src, dst, sum(w) / sum(sum(w)) OVER (PARTITION BY kind, src) AS p FROM edges GROUP BY kind, src, dst
+), seeds AS (
+  SELECT 1 AS kind, host, n / sum(n) OVER () AS mass FROM hosts WHERE good >= n * 0.5 UNION ALL SELECT -1, host, n / sum(n) OVER () FROM hosts WHERE bad >= n * 0.5
+), walk AS (
+  SELECT kind, host, CAST(mass AS DOUBLE) AS mass, 0 AS step FROM seeds
+  UNION ALL SELECT w.kind, m.dst, w.mass * m.p * 0.85, w.step + 1 FROM walk w JOIN moves m ON w.kind = m.kind AND w.host = m.src WHERE w.step < 60
+), ranks AS (
+  SELECT kind, host, sum(mass) / sum(sum(mass)) OVER (PARTITION BY kind) AS r FROM walk GROUP BY kind, host
+), bad AS (
+  SELECT host FROM ranks GROUP BY host HAVING sum(kind * r) < -1e-9
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+"""

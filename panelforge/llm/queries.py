@@ -101,5 +101,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
         "op2_sparse_suffix_dedup": oracles.REPEATED_PASSAGES,
+        "op6_link_graph": oracles.LINK_GRAPH,
         "op9_block_naming_dedup": oracles.BLOCK_NAMING,
     }
