@@ -519,7 +519,28 @@ def job_atlas(spark, d):
     return whole.select("i", "best_share", "margin", "entropy").join(kept, "i").join(stable, "i")
 
 
-@query("job_mechanisms")
+_MECH = P_CTE + ", " + SUPPLIER_CTE + f""",
+ch AS (SELECT unit, category, clr - lag(clr) OVER (PARTITION BY unit, category ORDER BY t) AS d FROM clr),
+cv AS (SELECT unit, sqrt(avg(e * e)) AS volatility FROM (SELECT unit, d - avg(d) OVER (PARTITION BY unit, category) AS e FROM ch WHERE d IS NOT NULL) GROUP BY unit),
+tv AS (SELECT unit, stddev_samp(x) AS total FROM (SELECT unit, ln_total - lag(ln_total) OVER (PARTITION BY unit ORDER BY t) AS x FROM tot) GROUP BY unit),
+v AS MATERIALIZED (SELECT * FROM cv JOIN tv USING (unit) JOIN sup USING (unit)),
+rep AS (SELECT unnest(range(1, 200)) AS rep),
+rk AS (SELECT rank() OVER (ORDER BY volatility) + (count(*) OVER (PARTITION BY volatility) - 1) / 2 AS x, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2 AS y FROM v),
+pm AS (SELECT rep, region, volatility, row_number() OVER (PARTITION BY rep, region ORDER BY {_hash_sql("3", "rep", "unit")}, unit) AS place FROM v, rep),
+mm AS (SELECT region, count(*) FILTER (balance > 5000) AS m FROM v GROUP BY region),
+nl AS (SELECT rep, avg(volatility) AS mean FROM pm JOIN mm USING (region) WHERE place <= m GROUP BY rep),
+o AS (SELECT avg(volatility) AS o FROM v WHERE balance > 5000),
+bw AS (SELECT rep, volatility, {_POIS} AS w FROM (SELECT rep, volatility, {_hash_sql("4", "rep", "unit")} AS u FROM v, rep)),
+bm AS (SELECT rep, sum(w * volatility) / nullif(sum(w), 0) AS mean FROM bw GROUP BY rep)
+"""
+
+
+@query(
+    "job_mechanisms", _MECH,
+    """SELECT (SELECT count(*) FROM rk) AS n, (SELECT corr(x, y) FROM rk) AS rho, o AS observed, (1 + (SELECT count(*) FROM nl WHERE mean >= o - 1e-12)) / ((SELECT count(*) FROM nl) + 1) AS p,
+  (SELECT quantile_cont(mean, 0.025) FROM bm) AS low, (SELECT quantile_cont(mean, 0.975) FROM bm) AS high FROM o""",
+    "rho observed p low high",
+)
 def job_mechanisms(spark, d):
     """Volatility, its rank correlation with level, a permutation null and a bootstrap interval, in one row."""
     p = B.panel(spark, d)
