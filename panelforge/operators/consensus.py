@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stash
 from ..functions.columns import euclid, stability_class
 from .windows import top_k
 
@@ -33,11 +34,11 @@ def family_affinities(runs: DataFrame, members: DataFrame) -> DataFrame:
     members: (i, cls). A class whose only member is the unit has affinity 0.
     """
     cell = runs.join(members, "i").groupBy("family", "run", "label", "cls").agg(F.count("*").alias("n"))
-    size = members.groupBy("cls").agg(F.count("*").alias("size"))
+    size = stash(members.groupBy("cls").agg(F.count("*").alias("size")))  # written: its size is known, so it is broadcast only if small
     n_runs = runs.groupBy("family").agg(F.count_distinct("run").alias("runs"))
     units = runs.join(members.select("i", F.col("cls").alias("own")), "i", "left")
     met = units.join(cell, ["family", "run", "label"]).groupBy("family", "i", "own", "cls").agg(F.sum("n").alias("n"))
-    grid = units.select("family", "i", "own").distinct().crossJoin(F.broadcast(size))  # a row for each class, a handful
+    grid = units.select("family", "i", "own").distinct().crossJoin(size)
     out = grid.join(met.select("family", "i", "cls", "n"), ["family", "i", "cls"], "left").join(n_runs, "family")
     self_ = F.when(F.col("own") == F.col("cls"), 1).otherwise(0)
     others = F.col("size") - self_
@@ -53,10 +54,10 @@ def affinities(by_family: DataFrame, omit: str | None = None) -> DataFrame:
 
 
 def membership(aff: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Best and second class of each unit, their shares, the margin and normalised entropy; all-zero rows are unresolved."""
+    """Best and second class of each unit, their shares, the margin and normalised entropy; ties at nine digits go to the smaller class, all-zero rows are unresolved."""
     keys = keys or ["i"]
     by = ", ".join(keys)
-    x = aff.selectExpr("*", f"row_number() over (partition by {by} order by affinity desc, cls) as place", f"count(*) over (partition by {by}) as k")
+    x = aff.selectExpr("*", f"row_number() over (partition by {by} order by round(affinity, 9) desc, cls) as place", f"count(*) over (partition by {by}) as k")
     out = x.groupBy(*keys).agg(
         F.max(F.expr("case when place = 1 then cls end")).alias("best"), F.max(F.expr("case when place = 2 then cls end")).alias("second"),
         F.max(F.expr("case when place = 1 then share end")).alias("best_share"), F.max(F.expr("case when place = 2 then share end")).alias("second_share"),
@@ -74,8 +75,8 @@ def family_votes(by_family: DataFrame, left: int, right: int) -> DataFrame:
 
 def leave_one_family_out(by_family: DataFrame) -> DataFrame:
     """(omitted, i, best, entropy): membership without each family in turn, in one pass over the rows of the others."""
-    fams = by_family.select(F.col("family").alias("omitted")).distinct()
-    rest = by_family.crossJoin(F.broadcast(fams)).where("family <> omitted")  # one row for each family
+    fams = stash(by_family.select(F.col("family").alias("omitted")).distinct())  # written: its size is known
+    rest = by_family.crossJoin(fams).where("family <> omitted")
     return membership(affinities(rest, "omitted"), ["omitted", "i"])
 
 
@@ -104,8 +105,8 @@ def select_cases(member: DataFrame, points: DataFrame) -> DataFrame:
     member: (i, margin, entropy); points: (i, cls, vec). Ties at nine digits go to the smaller id.
     """
     middle = points.select("cls", F.posexplode("vec").alias("dim", "x")).groupBy("cls", "dim").agg(F.median("x").alias("x"))
-    centre = middle.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("centre"))
-    x = points.join(F.broadcast(centre), "cls").join(member, "i")  # a row for each class
+    centre = stash(middle.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("centre")))  # written: its size is known
+    x = points.join(centre, "cls").join(member, "i")
     best = lambda order: F.min(F.struct(order.alias("o"), F.col("i").alias("i")))["i"]
     wide = x.groupBy("cls").agg(best(F.round(euclid(F.col("vec"), F.col("centre")), 9)).alias("core"), best(-F.round("entropy", 9)).alias("boundary"), best(-F.round("margin", 9)).alias("margin"))
     return wide.unpivot(["cls"], ["core", "boundary", "margin"], "kind", "i")

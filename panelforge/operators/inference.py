@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import stash
@@ -386,7 +387,29 @@ def interval(draws: DataFrame, value: str, keys: list[str], level: float = 0.95)
     return draws.groupBy(*keys).agg(F.percentile(value, q).alias("low"), F.percentile(value, 1 - q).alias("high"), F.count("*").alias("reps")) if keys else draws.agg(F.percentile(value, q).alias("low"), F.percentile(value, 1 - q).alias("high"), F.count("*").alias("reps"))
 
 
-# --- distribution tails, on the driver ----------------------------------------------------------------------------
+# --- distribution tails ------------------------------------------------------------------------------------------
+
+
+def chi2_tail(x: Column | str, df: Column | str) -> Column:
+    """Upper tail of the chi-squared distribution of whole degrees of freedom, by its finite sum; null for null, 1 for x <= 0."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, df: pd.Series) -> pd.Series:
+        def one(v: float, k: float) -> float | None:
+            if not (v == v and k == k):
+                return None
+            if v <= 0:
+                return 1.0
+            h, odd = v / 2, int(k) % 2
+            p = math.erfc(math.sqrt(h)) if odd else 0.0
+            return min(1.0, p + sum(math.exp(a * math.log(h) - h - math.lgamma(a + 1)) for a in (i + odd / 2 for i in range(int(k) // 2))))
+
+        return pd.Series([one(v, k) for v, k in zip(x, df, strict=True)], dtype="float64")
+
+    return tail(x, df)
+
+
+# --- tails of single figures, on the driver ----------------------------------------------------------------------------
 
 
 def tails(spark) -> object:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +14,20 @@ from .partitions import dominant_label
 
 
 def group_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, fold): largest groups first, each to the lightest fold so far; a row for each group reaches the driver."""
-    sizes = [(r[group], r.n) for r in rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).collect()]
-    load, out = [0] * folds, []
-    for g, n in sizes:
-        k = min(range(folds), key=lambda f: (load[f], f))
-        load[k] += n
-        out.append((g, k))
-    kind = dict(rows.dtypes)[group]
-    return rows.sparkSession.createDataFrame(out, f"{group} {kind}, fold int")
+    """(group, fold): largest groups first, each to the lightest fold so far; a row for each group in one task of an executor."""
+
+    def deal(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["n", group], ascending=[False, True], kind="stable")
+        load, fold = [(0, k) for k in range(folds)], []
+        for n in t.n:
+            held, k = heapq.heappop(load)
+            fold.append(k)
+            heapq.heappush(load, (held + int(n), k))
+        return t[[group]].assign(fold=np.array(fold, np.int32))
+
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    # written, so that later joins know its size and broadcast it only if it is small
+    return stash(sizes.groupBy().applyInPandas(deal, f"{group} {dict(rows.dtypes)[group]}, fold int"))
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int) -> DataFrame:

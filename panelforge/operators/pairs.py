@@ -102,7 +102,7 @@ def order_statistics(points: DataFrame, ranks: DataFrame, *, group: str, key: st
     """(group, rank, distance): exact order statistics (rank from 1) of the pairwise distances.
 
     Selection by digits: distances are counted by the leading bits of their binary form, the
-    bin that holds a rank is kept, and so on; once a bin holds few values, they are ranked.
+    bin that holds a rank is found on the executors and kept, and so on; once a bin holds few values, they are ranked.
     """
     spark, g = points.sparkSession, _kind(points, group)
     wanted = {(r[0], int(r[1])): (0, 0, int(r[1])) for r in ranks.select(group, "rank").distinct().collect()}
@@ -125,20 +125,16 @@ def order_statistics(points: DataFrame, ranks: DataFrame, *, group: str, key: st
             return pd.concat(out) if out else pd.DataFrame(columns=["g", "prefix", "bin", "n"])
 
         held = block_pairs(points, group, key, vec, count, f"g {g}, prefix bigint, bin bigint, n bigint").groupBy("g", "prefix", "bin").agg(F.sum("n").alias("n"))
-        table = {}
-        for r in held.collect():  # at most 2^(new bits) bins for each rank, whatever the number of points
-            table.setdefault((r.g, r.prefix), []).append((r.bin, r.n))
+        upto = held.selectExpr("*", "sum(n) over (partition by g, prefix order by bin) as upto")
+        sought = spark.createDataFrame([(who, prefix, rank, left) for (who, rank), (_, prefix, left) in wanted.items()], f"g {g}, prefix bigint, rank bigint, sought bigint")
+        hit = upto.join(sought, ["g", "prefix"]).where("sought > upto - n and sought <= upto")
         following, fullest = {}, 0
-        for (who, rank), (have, prefix, left) in wanted.items():
-            for v, n in sorted(table.get((who, prefix), ())):
-                if left <= n:
-                    if bits >= 64:
-                        done[who, rank] = float(np.array([v], np.int64).view(np.float64)[0])
-                    else:
-                        following[who, rank] = (bits, v, left)
-                        fullest = max(fullest, n)
-                    break
-                left -= n
+        for r in hit.selectExpr("g", "rank", "bin", "n", "sought - upto + n as sought").collect():  # one row for each rank
+            if bits >= 64:
+                done[r.g, r["rank"]] = float(np.array([r.bin], np.int64).view(np.float64)[0])
+            else:
+                following[r.g, r["rank"]] = (bits, r.bin, r.sought)
+                fullest = max(fullest, r.n)
         wanted = following
         # bins with few values are read out in full, fuller ones split further
         bits = 64 if fullest <= few else min(64, bits + 15)

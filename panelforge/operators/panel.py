@@ -124,7 +124,7 @@ def features(panel: DataFrame, structure_weight: float = 0.7, level_weight: floa
     scale = median_pair_distance(blocks, "g", "unit", "vec").groupBy(F.floor(F.col("g") / 2).cast("int").alias("t")).agg(
         F.max(F.when(F.col("g") % 2 == 0, F.col("distance"))).alias("sa"), F.max(F.when(F.col("g") % 2 == 1, F.col("distance"))).alias("sb"))
     a, b = blocks.where("g % 2 = 0").selectExpr("unit", "cast(g / 2 as int) as t", "vec"), blocks.where("g % 2 = 1").selectExpr("unit", "cast((g - 1) / 2 as int) as t", "vec as lvl")
-    both = a.join(b, ["unit", "t"]).join(F.broadcast(scale), "t")  # one row for each period
+    both = a.join(b, ["unit", "t"]).join(scale, "t")
     scaled = lambda v, s, w: F.transform(F.col(v), lambda x: x * (w**0.5) / F.col(s))
     return settle(both.select("unit", "t", F.concat(scaled("vec", "sa", structure_weight), scaled("lvl", "sb", level_weight)).alias("vec")), panel, blocks)
 
@@ -133,7 +133,7 @@ def combine_blocks(blocks: list[tuple[DataFrame, float]], group: str, key: str)
     """(group, key, vec): any number of vector blocks, each over its median distance and weighted."""
     def scaled(df: DataFrame, w: float, k: int) -> DataFrame:
         s = median_pair_distance(df, group, key, "vec")
-        return df.join(F.broadcast(s), group).select(group, key, F.transform("vec", lambda x: x * (w**0.5) / F.col("distance")).alias(f"b{k}"))
+        return df.join(s, group).select(group, key, F.transform("vec", lambda x: x * (w**0.5) / F.col("distance")).alias(f"b{k}"))
 
     parts = [scaled(df, w, k) for k, (df, w) in enumerate(blocks)]
     whole = reduce(lambda a, b: a.join(b, [group, key]), parts)

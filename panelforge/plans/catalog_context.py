@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import stash
 from ..operators import consensus as S
 from ..operators import context as X
 from ..operators import graphs as G
@@ -118,7 +119,7 @@ def permuted_label_baseline(spark, d):
     a = P.numbered(x.select(key.alias("key")), "key").select(F.col("key.d").alias("doc_id"), "idx").join(x.select("doc_id", "quality"), "doc_id").select("idx", "quality")
     b = P.numbered(x.select("doc_id"), "doc_id").join(x.select("doc_id", "source"), "doc_id")
     dealt = a.join(b, "idx").select("doc_id", "source", "quality")
-    return M.scores(M.majority_baseline(dealt.join(F.broadcast(M.group_folds(dealt, "source", 4)), "source"), "quality", "doc_id"))
+    return M.scores(M.majority_baseline(dealt.join(M.group_folds(dealt, "source", 4), "source"), "quality", "doc_id"))
 
 
 @query("leave_one_group_out")
@@ -126,4 +127,4 @@ def leave_one_group_out(spark, d):
     """Each language held out in turn."""
     x = _doc_rows(spark, d).join(T(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     folds = x.select("lang").distinct().selectExpr("lang", "cast(row_number() over (order by lang) - 1 as int) as fold")
-    return M.scores(M.cross_validate(x.join(F.broadcast(folds), "lang"), _FEATURES, "quality", "doc_id"))
+    return M.scores(M.cross_validate(x.join(stash(folds), "lang"), _FEATURES, "quality", "doc_id"))

@@ -17,12 +17,14 @@ from ..operators import partitions as Q
 from ..operators import synthetic as Y
 from ..operators import validity as V
 from ..operators.pairs import group_sums, knn
+from ..operators.spread import spread_louvain
 from ..session import read_table as T
 from ..sources import integrity, readers
 from ..streaming import events as E
 from . import bindings as B
 from .bindings import E_CTE, P_CTE, SUPPLIER_CTE
 from .catalog_panel import _hash_sql
+from .catalog_partitions import _AFF, _INDIV, RUNS_CTE
 from .registry import query
 
 _RANK = SUPPLIER_CTE + ", rk AS (SELECT *, rank() OVER (ORDER BY wage) + (count(*) OVER (PARTITION BY wage) - 1) / 2 AS r, count(*) OVER () AS n FROM sup)"
@@ -188,10 +190,8 @@ def bootstrap_interval(spark, d):
 
 @query("p_values")
 def p_values(spark, d):
-    """Upper tails of the Kruskal statistics (kept apart from compared columns)."""
-    t = I.tails(spark)
-    rows = [(r.region, float(t.chi2(r.h, r.k - 1))) for r in I.kruskal(B.suppliers(spark, d), "band", "wage", ["region"]).where("k > 1").collect()]
-    return spark.createDataFrame(rows, "region bigint, p double")
+    """Upper tails of the Kruskal statistics."""
+    return I.kruskal(B.suppliers(spark, d), "band", "wage", ["region"]).where("k > 1").select("region", I.chi2_tail("h", F.col("k") - 1).alias("p"))
 
 
 # clustering ----------------------------------------------------------------------------------------------
@@ -299,10 +299,16 @@ def supra_louvain(spark, d):
     number = stash(P.numbered(nodes, "node").select(F.col("node.t").alias("t"), F.col("node.unit").alias("unit"), F.col("idx").cast("bigint").alias("idx")))
     a, b = number.toDF("t", "src", "a"), number.toDF("t2", "dst", "b")
     flat = s.join(a, ["t", "src"]).join(b, ["t2", "dst"]).select(F.lit(0).alias("g"), F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
-    out = K.detect(flat, "louvain", 0.5)
+    out = spread_louvain(flat, 0.5)
     return out.join(number, out.i == number.idx).select("t", "unit", "label")
 
 
+@query("louvain_spread")
+def louvain_spread(spark, d):
+    """Communities of each period's graph by joint rounds over the cluster, as for graphs beyond one task's memory."""
+    return spread_louvain(G.knn_graph(B.near_p(spark, d)), few=0)
+
+
 @query("perturbation_runs")
 def perturbation_runs(spark, d):
     """Communities of the temporal graph under seeded perturbation of its edges: similarity of each run to the unperturbed one in the last period, and sizes."""
@@ -346,7 +352,12 @@ def label_alignment(spark, d):
     return A.align_labels(Q.contingency(B.points_e(spark, d).select("g", F.col("label").alias("ref"), ((F.col("label") * 3 + 1) % 10 + 100).alias("cand"))))
 
 
-@query("aligned_comparison")
+_BEST = RUNS_CTE + ", c AS (SELECT runs.label AS c, e.label AS r, count(*) AS n FROM runs JOIN e USING (i) WHERE run = 0 GROUP BY ALL), d0 AS (SELECT 0::BIGINT AS mask, 0::BIGINT AS s)"
+for _k in range(8):  # of all one-to-one maps, by the set of reference labels taken
+    _BEST += f", d{_k + 1} AS MATERIALIZED (SELECT mask, max(s)::BIGINT AS s FROM (SELECT mask, s FROM d{_k} UNION ALL SELECT mask | (1::BIGINT << r::BIGINT), s + n FROM d{_k} JOIN c ON c = {_k} AND mask & (1::BIGINT << r::BIGINT) = 0) GROUP BY mask)"
+
+
+@query("aligned_comparison", _BEST, "SELECT max(s) / (SELECT sum(n) FROM c) AS aligned_accuracy, (SELECT sum(n) FROM c)::BIGINT AS n FROM d8", "aligned_accuracy")
 def aligned_comparison(spark, d):
     """Accuracy of a run's labels after alignment to the reference."""
     x = B.runs_e(spark, d).where("run = 0").join(B.points_e(spark, d).select("i", F.col("label").alias("ref")), "i")
@@ -372,7 +383,7 @@ def _doc_rows(spark, d):
 
 def _folded(spark, d):
     x = _doc_rows(spark, d)
-    return x.join(F.broadcast(M.group_folds(x, "source", 4)), "source")  # a row for each source
+    return x.join(M.group_folds(x, "source", 4), "source")
 
 
 @query("group_separation", _DOC, "SELECT count(DISTINCT source) AS groups, CAST(0 AS BIGINT) AS shared FROM dx")
@@ -507,7 +518,16 @@ def covariate_summary(spark, d):
     return s.groupBy("band").agg(F.count("*").alias("n"), F.median("wage").alias("wage"), F.median("population").alias("population"), F.sum("orders").alias("orders"))
 
 
-@query("job_atlas")
+_ATLAS = _AFF + _INDIV.removeprefix(RUNS_CTE) + f""", lf AS (SELECT o.family AS omitted, fa.i, cls, round(avg(affinity), 9) AS affinity FROM fa, (SELECT DISTINCT family FROM fa) o WHERE fa.family <> o.family GROUP BY ALL),
+ lb AS (SELECT omitted, i, arg_min(cls, (-affinity, cls)) AS b FROM lf GROUP BY ALL), ag AS (SELECT i, avg((b = best)::INT) AS lofo_agreement FROM lb JOIN mb USING (i) GROUP BY i), sz AS (SELECT label AS ref, count(*) AS m FROM e GROUP BY label)"""
+
+
+@query(
+    "job_atlas", _ATLAS,
+    """SELECT i, best_share, best_share - second_share AS margin, entropy, lofo_agreement, ref, CASE WHEN m < 2 THEN 'unresolved' WHEN peer >= 0.85 THEN CASE WHEN precision >= 0.75 AND jaccard >= 0.65 THEN 'stable_core' ELSE 'expansive_core' END
+  WHEN peer < 0.75 AND jaccard < 0.5 THEN 'transition' ELSE 'unresolved' END AS stability FROM mb JOIN ag USING (i) JOIN ind USING (i) JOIN sz USING (ref)""",
+    "best_share margin entropy lofo_agreement",
+)
 def job_atlas(spark, d):
     """Stability atlas: affinities, entropy, leave-one-family-out agreement and stability class of each unit."""
     runs, ref = B.runs_e(spark, d), B.points_e(spark, d).select("i", F.col("label").alias("cls"))
@@ -554,12 +574,12 @@ def job_mechanisms(spark, d):
 
 @query("job_profile_cards")
 def job_profile_cards(spark, d):
-    """A card for each unit: shares, level, distance rank in its class, neighbours, as JSON."""
-    pts = stash(B.points_p(spark, d).where("g = 9"))
+    """A card for each unit and period: distance rank in its class, distance to its centre, neighbours, as JSON."""
+    pts = stash(B.points_p(spark, d))
     edges = stash(G.knn_graph(knn(pts, B.K, group="g", key="i", vec="vec"), fallback=True))
-    labels = K.detect(edges)
-    centre = K._mean_vector(pts.join(labels, ["g", "i"]), ["label"], "vec", "centre")
-    near = edges.select(F.col("src").alias("i"), "dst").union(edges.select("dst", "src")).groupBy("i").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
-    x = pts.join(labels, ["g", "i"]).join(centre, "label").withColumn("d", C.euclid(F.col("vec"), F.col("centre")))
-    x = x.selectExpr("i", "label", "rank() over (partition by label order by round(d, 9)) as centrality", "round(d, 6) as distance").join(near, "i", "left")
-    return x.select("i", "label", F.to_json(F.struct("centrality", "distance", "neighbours")).alias("card"))
+    labels = stash(K.detect(edges))
+    centre = K._mean_vector(pts.join(labels, ["g", "i"]), ["g", "label"], "vec", "centre")
+    near = edges.select("g", F.col("src").alias("i"), "dst").union(edges.select("g", "dst", "src")).groupBy("g", "i").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+    x = pts.join(labels, ["g", "i"]).join(centre, ["g", "label"]).withColumn("d", C.euclid(F.col("vec"), F.col("centre")))
+    x = x.selectExpr("g", "i", "label", "rank() over (partition by g, label order by round(d, 9)) as centrality", "round(d, 6) as distance").join(near, ["g", "i"], "left")
+    return x.select("g", "i", "label", F.to_json(F.struct("centrality", "distance", "neighbours")).alias("card"))

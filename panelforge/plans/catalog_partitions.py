@@ -292,7 +292,7 @@ def family_balanced_consensus(spark, d):
 
 # affinity straight from the definition: mean co-assignment with the other members of a class
 _AFF = RUNS_CTE + """, fa AS MATERIALIZED (SELECT a.family, a.i, b.cls, sum((a.label = b.label)::INT) / count(*) AS affinity FROM runs a JOIN (SELECT runs.*, e.label AS cls FROM runs JOIN e USING (i)) b ON a.run = b.run AND a.i <> b.i GROUP BY ALL),
- af AS MATERIALIZED (SELECT i, cls, avg(affinity) AS affinity FROM fa GROUP BY ALL), sh AS MATERIALIZED (SELECT *, affinity / sum(affinity) OVER (PARTITION BY i) AS share, row_number() OVER (PARTITION BY i ORDER BY affinity DESC, cls) AS place FROM af),
+ af AS MATERIALIZED (SELECT i, cls, avg(affinity) AS affinity FROM fa GROUP BY ALL), sh AS MATERIALIZED (SELECT *, affinity / sum(affinity) OVER (PARTITION BY i) AS share, row_number() OVER (PARTITION BY i ORDER BY round(affinity, 9) DESC, cls) AS place FROM af),
  mb AS MATERIALIZED (SELECT i, max(CASE WHEN place = 1 THEN cls END) AS best, max(CASE WHEN place = 2 THEN cls END) AS second, max(CASE WHEN place = 1 THEN share END) AS best_share, max(CASE WHEN place = 2 THEN share END) AS second_share, sum(CASE WHEN share > 0 THEN -share * ln(share) ELSE 0 END) / ln(count(*)) AS entropy FROM sh GROUP BY i)"""
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import columns as C
-from panelforge.operators import alignment, communities, consensus, graphs, inference, panel, partitions, relational, synthetic, validity, windows
+from panelforge.operators import alignment, communities, consensus, graphs, inference, ml, panel, partitions, relational, spread, synthetic, validity, windows
 from panelforge.operators.pairs import group_sums, knn, median_pair_distance, order_statistics
 
 
@@ -388,3 +388,44 @@ def test_united_components_equal_the_star_steps(spark):
     e = frame(spark, rows, "a bigint, b bigint").selectExpr("struct(a % 3 as g, a as i) as a", "struct(a % 3 as g, b as i) as b")
     plain = lambda df: sorted((tuple(r.node), tuple(r.comp)) for r in df.collect())
     assert plain(durable.components(e)) == plain(durable.components(e, few=10**6))
+
+
+def planted(groups, size):
+    """A graph of dense groups of nodes numbered from 5,000,000, with few links between groups."""
+    rng, n = random.Random(3), groups * size
+    return [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.4 if i // size == j // size else 0.01)]
+
+
+def test_joint_rounds_come_near_the_sequential_modularity(spark):
+    rows = [(0, i + 5_000_000, j + 5_000_000, 1.0) for i, j in planted(6, 20)] + [(1, i, (i + 1) % 40, 1.0) for i in range(40)]
+    edges = spark.createDataFrame(rows, "g int, src bigint, dst bigint, weight double")
+    q = lambda labels: {r.g: r.modularity for r in validity.modularity(edges, labels).collect()}
+    want = q(communities.detect(edges))
+    same = spread.spread_louvain(edges)
+    assert {tuple(r) for r in same.select("g", "i", "label").collect()} == {tuple(r) for r in communities.detect(edges).select("g", "i", "label").collect()}
+    got = spread.spread_louvain(edges, few=60)
+    near = q(got)
+    assert got.count() == 160 and near[0] >= 0.99 * want[0] and near[1] >= 0.95 * want[1]
+    blocks = {}
+    for r in got.where("g = 0").collect():
+        blocks.setdefault(r.label, set()).add((r.i - 5_000_000) // 20)
+    assert sorted(map(sorted, blocks.values())) == [[k] for k in range(6)]
+    assert spread.spread_louvain(edges.limit(0), few=0).count() == 0
+
+
+def test_groups_are_dealt_largest_first_to_the_lightest_fold(spark):
+    sizes = {"a": 5, "b": 4, "c": 4, "d": 2, "e": 1}
+    rows = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "k string").repartition(3)
+    assert {r.k: r.fold for r in ml.group_folds(rows, "k", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
+
+
+def test_labels_without_a_match_get_new_ids(spark):
+    cont = spark.createDataFrame([(1, 7, 5), (1, 8, 9), (2, 7, 1), (1, 9, 2)], "ref bigint, cand bigint, n bigint")
+    got = {r.cand: (r.aligned, r.n) for r in alignment.align_labels(cont).collect()}
+    assert got == {8: (1, 9), 7: (2, 1), 9: (3, 0)}
+
+
+def test_chi_squared_tail(spark):
+    x = spark.createDataFrame([(3.84145882, 1), (5.99146455, 2), (11.07049769, 5), (0.0, 3), (None, 2), (800.0, 4)], "x double, k int")
+    p = [r.p for r in x.select(inference.chi2_tail("x", "k").alias("p")).collect()]
+    assert p[:3] == [pytest.approx(0.05, abs=1e-8)] * 3 and p[3] == 1.0 and p[4] is None and 0 <= p[5] < 1e-100
