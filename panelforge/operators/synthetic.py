@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import release, stash
 from ..functions.columns import hash_normal, min_max
+from .communities import detect
+from .graphs import knn_graph
+from .pairs import knn
 from .partitions import contingency, similarity
 from .windows import pareto_front
 
@@ -60,6 +64,36 @@ def score_events(labels: DataFrame) -> DataFrame:
     return out.selectExpr("true_events", "inferred_events", "hits", f"{p} as precision", f"{r} as recall", "case when true_events + inferred_events > 0 then 2.0d * hits / (true_events + inferred_events) end as f1", "delay", "accuracy")
 
 
+def temporal_runs(spark: SparkSession, omegas: list[float], units: int, periods: int, seed: int, k: int = 8) -> DataFrame:
+    """(scenario, omega, ari, false_rate): communities of each scenario's temporal graph at each weight of temporal edges.
+
+    ari is the mean over periods against the planted classes; false_rate the share of a unit's steps
+    without a planted change at which its community changes. All graphs are found at once.
+    """
+    whole = None
+    for s in SCENARIOS:
+        one = panel(spark, s, units, periods, seed).withColumn("scenario", F.lit(s))
+        whole = one if whole is None else whole.unionByName(one)
+    points = stash(whole.withColumn("g", F.concat_ws(":", "scenario", "t")))
+    edges = stash(knn_graph(knn(points, k, group="g", key="i", vec="vec"), fallback=True))
+    node = lambda t, i: (F.col(t) * units + F.col(i)).cast("bigint")
+    layer = edges.withColumn("scenario", F.substring_index("g", ":", 1)).withColumn("t", F.substring_index("g", ":", -1).cast("int"))
+    grid = F.explode(F.array(*(F.lit(float(w)) for w in omegas))).alias("omega")
+    inner = layer.select("scenario", grid, node("t", "src").alias("src"), node("t", "dst").alias("dst"), "weight")
+    middle = stash(layer.groupBy("scenario").agg(F.median("weight").alias("m")))
+    steps = points.where(F.col("t") > 0).select("scenario", grid, node("t", "i").alias("dst")).join(middle, "scenario")
+    across = steps.select("scenario", "omega", (F.col("dst") - units).alias("src"), "dst", (F.col("omega") * F.col("m")).alias("weight")).where("weight > 0")
+    flat = stash(inner.unionByName(across).withColumn("g", F.concat_ws(":", "scenario", "omega")))
+    found = detect(flat).select(F.substring_index("g", ":", 1).alias("scenario"), F.substring_index("g", ":", -1).cast("double").alias("omega"), F.pmod("i", F.lit(units)).alias("i"), F.floor(F.col("i") / units).cast("int").alias("t"), F.col("label").alias("cand"))
+    both = stash(found.join(points.select("scenario", "t", "i", F.col("label").alias("ref")), ["scenario", "t", "i"]))
+    release(flat, edges, points, middle)
+    cells = contingency(both.select(F.struct("scenario", "omega", "t").alias("g"), "ref", "cand"))
+    ari = similarity(cells).groupBy("g.scenario", "g.omega").agg(F.avg("ari").alias("ari"))
+    moved = both.selectExpr("scenario", "omega", *(f"{c} <> lag({c}) over (partition by scenario, omega, i order by t) as {c}" for c in ("ref", "cand")))
+    calm = moved.where("not ref").groupBy("scenario", "omega").agg(F.avg(F.col("cand").cast("double")).alias("false_rate"))
+    return ari.join(calm, ["scenario", "omega"])
+
+
 def tradeoff(results: DataFrame) -> DataFrame:
     """results (scenario, omega, ari, false_rate): min-max scores within scenarios, their means for each omega, Pareto flags."""
     x = results.select("scenario", "omega", min_max("ari", "scenario").alias("a"), min_max("false_rate", "scenario", higher=False).alias("b"))

@@ -306,7 +306,7 @@ def supra_louvain(spark, d):
 @query("louvain_spread")
 def louvain_spread(spark, d):
     """Communities of each period's graph by joint rounds over the cluster, as for graphs beyond one task's memory."""
-    return spread_louvain(G.knn_graph(B.near_p(spark, d)), few=0)
+    return spread_louvain(G.knn_graph(B.near_p(spark, d)), few=500, rounds=8)
 
 
 @query("perturbation_runs")
@@ -460,8 +460,8 @@ def synthetic_event_scores(spark, d):
 
 @query("synthetic_tradeoff")
 def synthetic_tradeoff(spark, d):
-    rows = [(s, float(w), 0.5 + 0.1 * ((k * 7 + w * 3) % 5), 0.1 * ((k + w * 2) % 4)) for k, s in enumerate(Y.SCENARIOS) for w in range(4)]
-    return Y.tradeoff(spark.createDataFrame(rows, "scenario string, omega double, ari double, false_rate double"))
+    """Weights of temporal edges by how well they recover planted classes and how seldom they invent changes."""
+    return Y.tradeoff(stash(Y.temporal_runs(spark, [0.0, 0.5, 2.0, 8.0], 60, 8, 1)))
 
 
 # sources, integrity, streams ----------------------------------------------------------------------------------------

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_once = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,8 +24,13 @@ def ship(spark: SparkSession) -> None:
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(size) == "67108864b":
         spark.conf.set(size, "8m")
-    if sc.applicationId in _shipped:
-        return
+    with _once:
+        if sc.applicationId not in _shipped:
+            _send(sc)
+            _shipped.add(sc.applicationId)
+
+
+def _send(sc: SparkContext) -> None:
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="panelforge-"), "panelforge.zip")
     with zipfile.ZipFile(path, "w") as out:
@@ -32,7 +40,6 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     out.write(full, os.path.join("panelforge", os.path.relpath(full, root)))
     sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -429,3 +429,10 @@ def test_chi_squared_tail(spark):
     x = spark.createDataFrame([(3.84145882, 1), (5.99146455, 2), (11.07049769, 5), (0.0, 3), (None, 2), (800.0, 4)], "x double, k int")
     p = [r.p for r in x.select(inference.chi2_tail("x", "k").alias("p")).collect()]
     assert p[:3] == [pytest.approx(0.05, abs=1e-8)] * 3 and p[3] == 1.0 and p[4] is None and 0 <= p[5] < 1e-100
+
+
+def test_temporal_edges_trade_invented_changes_for_fidelity(spark):
+    runs = {(r.scenario, r.omega): r for r in synthetic.temporal_runs(spark, [0.0, 2.0], 30, 6, 1, k=5).collect()}
+    assert len(runs) == 2 * len(synthetic.SCENARIOS)
+    assert all(-1 <= r.ari <= 1 and 0 <= r.false_rate <= 1 for r in runs.values())
+    assert all(runs[s, 2.0].false_rate < runs[s, 0.0].false_rate for s in ("stable", "abrupt", "gradual")) and runs["stable", 2.0].ari > 0.9
