@@ -34,12 +34,12 @@ def _rank_sums(df: DataFrame, group: str, value: str, keys: list[str]) -> tuple[
     return each, ties
 
 
-def kruskal(df: DataFrame, group: str, value: str, keys: list[str]) -> DataFrame:
-    """(keys, h, epsilon2, n, k): tie-corrected Kruskal-Wallis H and max(0, (H - k + 1) / (n - k))."""
+def kruskal(df: DataFrame, group: str, value: str, keys: list[str], corrected: bool = True) -> DataFrame:
+    """(keys, h, epsilon2, n, k): Kruskal-Wallis H, corrected for ties unless told not to, and max(0, (H - k + 1) / (n - k))."""
     each, ties = _rank_sums(df, group, value, keys)
     per = each.groupBy(*keys).agg(F.count("*").alias("k"), F.sum(F.expr("r * r / m")).alias("s"))
     met = per.join(ties, keys) if keys else per.crossJoin(ties)  # rows of one
-    shrink = "nullif(1 - coalesce(ties / nullif(cast(n * n * n - n as double), 0.0d), 0.0d), 0.0d)"
+    shrink = "nullif(1 - coalesce(ties / nullif(cast(n as double) * n * n - n, 0.0d), 0.0d), 0.0d)" if corrected else "1"
     out = met.selectExpr(*keys, "n", "k", f"(12.0d / (n * (n + 1)) * s - 3 * (n + 1)) / {shrink} as h").where("n > 0")
     return out.selectExpr(*keys, "n", "k", "h", "case when n > k then greatest(0.0d, (h - k + 1) / (n - k)) end as epsilon2")
 
