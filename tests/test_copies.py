@@ -73,3 +73,11 @@ def test_exact_sum_takes_any_doubles(spark):
     assert one(0.1, 0.2, None, 0.3) == 0.6
     assert one(0.125, 1e300) == 1e300 and one(0.125, 0.25) == 0.375
     assert one(None) is None and one(float("nan"), 1.0) != one(1.0)
+
+
+def test_both_sides_of_lineage_read_one_written_panel(spark):
+    from panelforge.plans.catalog_relational import _lineage
+
+    cur, off = _lineage(spark, SF)
+    assert set(cur.inputFiles()) == set(off.inputFiles())
+    assert not any("lineitem" in f for f in cur.inputFiles())
