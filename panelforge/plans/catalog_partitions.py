@@ -287,7 +287,7 @@ def coassignment_pairs(spark, d):
 @query("family_balanced_consensus", _CO, "SELECT i, j, sum(p) / 4 AS p FROM co GROUP BY i, j", "p")
 def family_balanced_consensus(spark, d):
     """The consensus over all units, each family with equal weight."""
-    return S.balanced_consensus(_co(spark, d), B.FAMILIES)
+    return S.consensus(B.runs_e(spark, d), B.points_e(spark, d).select("i"), B.FAMILIES)
 
 
 # affinity straight from the definition: mean co-assignment with the other members of a class
