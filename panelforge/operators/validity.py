@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import euclid
 from .graphs import block_matrix, both_ways
-from .pairs import point_group_sums
+from .pairs import own_and_nearest_group
 
 
 def silhouettes(points: DataFrame) -> DataFrame:
     """(g, i, label, a, b, s): mean distance to the own class and to the nearest other; 0 for a single member."""
-    sums = point_group_sums(points, "label", group="g", key="i", vec="vec").where("n > 0 or own = other")
-    own = sums.where("own = other").selectExpr("g", "i", "own as label", "case when n > 0 then s / n end as a")
-    near = sums.where("own <> other").groupBy("g", "i").agg(F.min(F.expr("s / n")).alias("b"))
-    return own.join(near, ["g", "i"]).selectExpr("g", "i", "label", "a", "b", "case when a is null then 0.0 when greatest(a, b) = 0 then 0.0 else (b - a) / greatest(a, b) end as s")
+    both = own_and_nearest_group(points, "label", group="g", key="i", vec="vec")
+    return both.selectExpr("g", "i", "label", "a", "b", "case when a is null then 0.0 when greatest(a, b) = 0 then 0.0 else (b - a) / greatest(a, b) end as s")
 
 
 def silhouette(points: DataFrame) -> DataFrame:
