@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import settle, stash
 from ..functions.columns import euclid
 from .graphs import block_matrix, both_ways
 from .pairs import own_and_nearest_group
@@ -55,16 +56,19 @@ def s_dbw(points: DataFrame, *, spread: str = "sd", radius: str = "mean", inside
     A midpoint counts members of its two clusters, a centre those of its own.
     Undefined for K < 2 or no dispersion.
     """
-    centres = _centres(points, spread)
+    centres = stash(_centres(points, spread))
     whole = _long(points).groupBy("g", "dim").agg(F.var_pop("x").alias("v")).groupBy("g").agg(F.sqrt(F.sum(F.expr("v" if spread == "sd" else "v * v"))).alias("sd_all"))
     k = centres.groupBy("g").agg(F.count("*").alias("k"), F.avg("sd").alias("sd_mean"), F.sqrt(F.sum("sd")).alias("root"))
     base = k.join(whole, "g").selectExpr("g", "k", "sd_mean / nullif(sd_all, 0.0) as scatter", "sd_mean as r" if radius == "mean" else "root / k as r")
     a, b = centres.selectExpr("g", "label as la", "centre as ca"), centres.selectExpr("g", "label as lb", "centre as cb")
-    pairs = a.join(b, "g").where("la < lb").select("g", "la", "lb", "ca", "cb", F.zip_with("ca", "cb", lambda x, y: (x + y) / 2).alias("mid"))
-    # each class pair meets the members of its two classes only
-    meets = pairs.select("g", "la", "lb", F.explode(F.array("la", "lb")).alias("label"), "ca", "cb", "mid").join(points.select("g", "label", "vec"), ["g", "label"]).join(base.select("g", "r"), "g")
-    hit = lambda c, own=None: F.count_if(((euclid(F.col("vec"), F.col(c)) <= F.col("r")) if inside else (euclid(F.col("vec"), F.col(c)) > F.col("r"))) & (F.lit(True) if own is None else F.col("label") == F.col(own)))
-    dens = meets.groupBy("g", "la", "lb").agg(hit("mid").alias("d_mid"), hit("ca", "la").alias("d_a"), hit("cb", "lb").alias("d_b"))
+    pairs = a.join(b, "g").where("la < lb").select("g", "la", "lb", F.zip_with("ca", "cb", lambda x, y: (x + y) / 2).alias("mid"))
+    hit = lambda c: F.count_if((euclid(F.col("vec"), F.col(c)) <= F.col("r")) if inside else (euclid(F.col("vec"), F.col(c)) > F.col("r")))
+    members, r = points.select("g", "label", "vec"), base.select("g", "r")
+    # each class pair meets the members of its two classes only, each class's centre its members once
+    meets = pairs.select("g", "la", "lb", F.explode(F.array("la", "lb")).alias("label"), "mid").join(members, ["g", "label"]).join(r, "g")
+    own = stash(centres.select("g", "label", "centre").join(members, ["g", "label"]).join(r, "g").groupBy("g", "label").agg(hit("centre").alias("d")))
+    dens = meets.groupBy("g", "la", "lb").agg(hit("mid").alias("d_mid"))
+    dens = dens.join(own.selectExpr("g", "label as la", "d as d_a"), ["g", "la"]).join(own.selectExpr("g", "label as lb", "d as d_b"), ["g", "lb"])
     top = "greatest(d_a, d_b)"
     rule = {"zero_for_zero": f"case when {top} > 0 then d_mid / {top} when d_mid = 0 then 0.0 end", "undefined": f"case when {top} > 0 then d_mid / {top} end", "floor": f"d_mid / greatest({top}, 1)"}[zero]
     dens = dens.withColumn("ratio", F.expr(rule))
@@ -94,11 +98,25 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return c.groupBy("g").agg(F.sum(F.expr(f"inner_w / two_m - {resolution} * (k / two_m) * (k / two_m)")).alias("modularity"))
 
 
-def evaluate(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """All indices of one partition in a row for each g, with a status: which are undefined."""
-    labels = points.select("g", "i", "label")
-    out = silhouette(points).join(calinski_harabasz(points), "g").join(s_dbw(points).select("g", "k", "s_dbw"), "g")
-    out = out.join(block_indices(block_matrix(edges, labels)).drop("k"), "g").join(modularity(edges, labels), "g")
-    names = ["silhouette", "calinski_harabasz", "s_dbw", "avi", "avu", "anui", "turbo_mq", "modularity"]
+def _compared(points: DataFrame) -> DataFrame:
+    """(g): the groups that have a silhouette, a point with a distance to all of another class; found without distances."""
+    finite = F.coalesce(F.forall("vec", lambda x: F.coalesce(F.abs(x) < 1e150, F.lit(False))), F.lit(False))
+    classes = points.where("label is not null").groupBy("g", "label").agg(F.min(finite).alias("whole"), F.max(finite).alias("some"))
+    return classes.groupBy("g").agg(F.count_if("whole").alias("whole"), F.count_if("some").alias("some")).where("whole >= 1 and some >= 2").select("g")
+
+
+def evaluate(points: DataFrame, edges: DataFrame, with_silhouette: bool = True) -> DataFrame:
+    """All indices of one partition in a row for each g, with a status: which are undefined.
+
+    Without the silhouette, whose distances cost the most by far, rows and status stay the same. Points are written once,
+    and the edges are gone through once: the modularity is that of the block matrix.
+    """
+    points = stash(points)
+    blocks = stash(block_matrix(edges, points.select("g", "i", "label")))  # classes squared
+    rows = blocks.groupBy("g", "ci").agg(F.sum("s").alias("k"), F.sum(F.expr("case when ci = cj then s else 0.0 end")).alias("w")).selectExpr("*", "sum(k) over (partition by g) as two_m")
+    q = rows.groupBy("g").agg(F.sum(F.expr("w / two_m - (k / two_m) * (k / two_m)")).alias("modularity"))
+    out = (silhouette(points) if with_silhouette else _compared(points)).join(calinski_harabasz(points), "g").join(s_dbw(points).select("g", "k", "s_dbw"), "g")
+    out = out.join(block_indices(blocks).drop("k"), "g").join(q, "g")
+    names = ["silhouette"] * with_silhouette + ["calinski_harabasz", "s_dbw", "avi", "avu", "anui", "turbo_mq", "modularity"]
     missing = F.array_join(F.filter(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in names)), lambda x: x.isNotNull()), ",")
-    return out.select("g", "k", *names, F.when(missing == "", "ok").otherwise(F.concat(F.lit("partially_undefined:"), missing)).alias("status"))
+    return settle(out.select("g", "k", *names, F.when(missing == "", "ok").otherwise(F.concat(F.lit("partially_undefined:"), missing)).alias("status")), points, blocks)
