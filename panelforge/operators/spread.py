@@ -14,31 +14,33 @@ def _moves(level: DataFrame, resolution: float, rounds: int, still: float) -> tu
 
     In each round half of the nodes, by hash, may move: two that would swap classes seldom
     both do. A round is one scan of the edges; rounds end when two in a row move less than ``still`` of the nodes.
+    A node's strength doesn't change in a level, so links carry it; a link of no weight to itself brings each node its own class.
     """
     inner = F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight"))
     ends = level.select("g", F.col("src").alias("a"), inner.alias("w")).union(level.where("src <> dst").select("g", "dst", "weight"))
-    node = stash(ends.groupBy("g", "a").agg(F.sum("w").alias("k")).withColumn("c", F.col("a")).withColumn("moved", F.lit(False)))
-    whole = stash(node.groupBy("g").agg(F.sum("k").alias("two_m")))  # one row for each graph
+    strength = stash(ends.groupBy("g", "a").agg(F.sum("w").alias("k")))
+    whole = stash(strength.groupBy("g").agg(F.sum("k").alias("two_m")))  # one row for each graph
+    start = strength.join(whole, "g").select("g", "a", "k", "two_m")
     links = level.where("src <> dst").selectExpr("g", "src as a", "dst as b", "weight as w").union(level.where("src <> dst").selectExpr("g", "dst", "src", "weight"))
-    nodes, moves, quiet = node.count(), 0, 0
+    links = stash(links.union(strength.selectExpr("g", "a", "a", "0.0d")).join(start, ["g", "a"]))
+    node, nodes, moves, quiet = start.withColumn("c", F.col("a")), strength.count(), 0, 0
     for r in range(rounds):
-        # the sums are written first: a join on a hot node or class is then split over tasks
+        # the sums are written first: a join on a hot class is then split over tasks
         total = stash(node.groupBy("g", "c").agg(F.sum("k").alias("total")))
-        to = links.join(node.selectExpr("g", "a as b", "c"), ["g", "b"]).groupBy("g", "a", "c").agg(F.sum("w").alias("w"))
-        to = stash(to.union(node.select("g", "a", "c", F.lit(0.0))).groupBy("g", "a", "c").agg(F.sum("w").alias("w")))
-        x = to.join(total, ["g", "c"]).join(node.selectExpr("g", "a", "k", "c as own"), ["g", "a"]).join(whole, "g")
-        x = x.withColumn("gain", F.expr(f"w - {resolution} * k * (total - if(c = own, k, 0.0)) / two_m"))
-        best = x.groupBy("g", "a", "k", "own").agg(F.max(F.expr("if(c = own, gain, null)")).alias("stay"), F.max("gain").alias("most"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"))
+        held = node.join(total, ["g", "c"]).select("g", F.col("a").alias("b"), "c", "total")
+        to = links.join(held, ["g", "b"]).groupBy("g", "a", "c").agg(F.sum("w").alias("w"), *(F.max(x).alias(x) for x in ("k", "two_m", "total")), F.max(F.col("a") == F.col("b")).alias("mine"))
+        x = to.withColumn("gain", F.expr(f"w - {resolution} * k * (total - if(mine, k, 0.0)) / two_m"))
+        best = x.groupBy("g", "a").agg(*(F.max(x).alias(x) for x in ("k", "two_m")), F.max(F.expr("if(mine, c, null)")).alias("own"), F.max(F.expr("if(mine, gain, null)")).alias("stay"), F.max("gain").alias("most"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"))
         go = (F.col("most") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0)
-        after = stash(best.select("g", "a", "k", F.when(go, F.col("to")).otherwise(F.col("own")).alias("c"), go.alias("moved")))
-        release(total, to, node)
+        after = stash(best.select("g", "a", "k", "two_m", F.when(go, F.col("to")).otherwise(F.col("own")).alias("c"), go.alias("moved")))
+        release(total, node)
         node = after
         n = node.where("moved").count()
         moves += n
         quiet = quiet + 1 if n <= still * nodes else 0
         if quiet == 2:
             break
-    out = settle(node.select("g", "a", "c"), node, whole)
+    out = settle(node.select("g", "a", "c"), node, strength, whole, links)
     return out, moves
 
 

@@ -114,3 +114,18 @@ def test_perturbed_graphs_are_left_to_spread_louvain(spark, monkeypatch):
     monkeypatch.setattr(catalog_inference, "spread_louvain", lambda *a, **k: calls.append(a[0].columns) or whole(*a, **k))
     rows = catalog_inference.perturbation_runs(spark, "/root/testdata/sf0.001").collect()
     assert calls == [["g", "src", "dst", "weight"]] and sorted(r.seed for r in rows) == [1, 2, 3, 4, 5]
+
+
+def test_a_joint_round_writes_two_tables(spark, monkeypatch):
+    # it wrote three: links' sums for each class are now handed on to the choice without a table between
+    from panelforge.operators import spread
+
+    edges = spark.createDataFrame(_ring_of_blobs(4, 12, 4), "g int, src bigint, dst bigint, weight double")
+    write, written = spread.stash, []
+    monkeypatch.setattr(spread, "stash", lambda df: (written.append(1), write(df))[1])
+    counts = []
+    for rounds in (1, 2):
+        written.clear()
+        spread._moves(edges, 1.0, rounds, 0.0)
+        counts.append(len(written))
+    assert counts[1] - counts[0] == 2
