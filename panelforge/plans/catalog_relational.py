@@ -85,8 +85,8 @@ _LIN = P_CTE + ", cur AS (SELECT 'u' || unit AS mo, t, category, CAST(round(valu
 
 
 def _lineage(spark, d):
-    # written once: both sides must hold the same rounded sums, and sums of doubles may differ between two scans
-    p = stash(B.panel(spark, d).select("unit", "t", "category", F.round("value").cast("bigint").alias("value")))
+    # written once, for both sides; sums that are n.5 go up or down with the order of their terms, so terms are added in the order of the files
+    p = stash(P.complete_rows(B.cells_in_order(spark, d), B.CATEGORIES, len(B.PERIODS)).select("unit", "t", "category", F.round("value").cast("bigint").alias("value")))
     cur = p.select(F.concat(F.lit("u"), F.col("unit")).alias("mo"), "t", "category", "value").union(p.where("unit % 10 = 0").select(F.concat(F.lit("v"), F.col("unit")), "t", "category", "value"))
     off = p.select((F.col("unit") + 1000).alias("territory"), "t", "category", (F.col("value") + F.expr("case when unit % 7 = 0 and t = 4 then 1 else 0 end")).alias("value"))
     return cur, off
