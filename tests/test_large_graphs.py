@@ -129,3 +129,17 @@ def test_a_joint_round_writes_two_tables(spark, monkeypatch):
         spread._moves(edges, 1.0, rounds, 0.0)
         counts.append(len(written))
     assert counts[1] - counts[0] == 2
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_rounds_in_one_task_are_those_over_the_cluster(spark, kind, monkeypatch):
+    from panelforge.operators import spread
+
+    draw = np.random.default_rng(3)
+    rows = [(g, int(a), int(b), float(w)) for g in (1, 2) for a, b, w in zip(draw.integers(0, 300, 1500), draw.integers(0, 300, 1500), draw.uniform(0.1, 1, 1500), strict=True) if a // 20 == b // 20 or draw.random() < 0.15]
+    edges = spark.createDataFrame(rows, "g int, src bigint, dst bigint, weight double").selectExpr("g", f"cast(src as {kind}) as src", f"cast(dst as {kind}) as dst", "weight").cache()
+    labels = lambda **k: {(r.g, r.i): r.label for r in spread.spread_louvain(edges, few=100, **k).collect()}
+    joined = labels(held=0)
+    monkeypatch.setattr(spread, "_moves", None)  # no round is a join of its own any more
+    assert labels() == joined and len(set(joined.values())) > 3
+    assert labels(rounds=1) != joined
