@@ -142,8 +142,7 @@ def spread_louvain(edges: DataFrame, resolution: float = 1.0, *, few: int = 1_00
     While a graph has more than ``few`` edges, its nodes move in joint rounds over the cluster and
     classes become the nodes of the next, smaller graph; once all graphs have at most ``few``,
     each is one task's work, as in ``detect``. Once all graphs have at most ``held`` edges, the rounds
-    too are one task's work for each graph, with the same draws: arrays take about 150 bytes an edge, where
-    dictionaries take several times that. Graphs of at most ``few`` from the start therefore get the
+    too are one task's work for each graph, with the same draws, in arrays. Graphs of at most ``few`` from the start therefore get the
     labels of ``detect``; larger ones a partition of nearly the same modularity. Labels go from 1 by size,
     then least member; nodes may be of any type that can be ordered; an empty table gives an empty result.
     """
